@@ -5,10 +5,12 @@ Thresholds decide the band; ``advice`` is a short code a front end can spell out
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mlscout.functions.hashing import HASH_RANGE, row_hash
+from mlscout.functions.hashing import HASH_RANGE, key_columns, row_hash
 from mlscout.functions.text import html_escape, number_text
 from mlscout.operators.diagnostics import (
     LINEAR_ENGINES,
@@ -377,11 +379,11 @@ def importance_chart(importance: DataFrame, k: int = 15) -> DataFrame:
 
 
 def pred_vs_actual(
-    df: DataFrame, y: str, yhat: str, n: int, key: str | None = None, seed: int = 123
+    df: DataFrame, y: str, yhat: str, n: int, key: str | Sequence[str] | None = None, seed: int = 123
 ) -> DataFrame:
     """About ``n`` points chosen by hash, for a scatter plot of any number of rows."""
     rows = residuals(df, y, yhat)
-    keys = [key] if key else [y, yhat]
+    keys = [y, yhat] if key is None else key_columns(df, key)
     total = rows.count()
     share = min(1.0, n / total) if total else 1.0
     return rows.filter(row_hash(keys, seed) < int(share * HASH_RANGE)).select(
