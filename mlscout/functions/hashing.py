@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mlscout.kinds import NESTED, column, kind_of
 
@@ -25,6 +26,14 @@ def row_hash(keys: Sequence[str], seed: int) -> Column:
     return F.conv(F.substring(digest, 1, _HEX_DIGITS), 16, 10).cast("bigint")
 
 
+def content_hash(df: DataFrame) -> Column:
+    """Hash of the whole row: breaks ties between rows that share a key, so that a
+    retried task orders them as before. Rows that still tie are copies."""
+    unhashable = (T.MapType, T.VariantType)
+    names = [f.name for f in df.schema if not isinstance(f.dataType, unhashable)]
+    return F.xxhash64(*[column(c) for c in names])
+
+
 def key_columns(df: DataFrame, key: str | Sequence[str] | None) -> list[str]:
     """The caller's key, or every non-nested column (identical rows then hash alike)."""
     if key is None:

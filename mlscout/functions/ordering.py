@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mlscout.functions.hashing import row_hash
+from mlscout.functions.hashing import content_hash, row_hash
 from mlscout.kinds import column, finite_double, present_double
 from mlscout.session import cut_lineage
 
@@ -215,10 +215,12 @@ def mark_lowest(
     and is never shuffled.
     """
     keys = list(key)
-    hashed = df.withColumn("_hash", row_hash(keys, seed))
+    hashed = df.withColumns({"_hash": row_hash(keys, seed), "_content": content_hash(df)})
     quotas = quotas.select(column(group), "_n", "_k")
     large = quotas.filter(F.col("_n") > max_group_rows).collect()
-    order = Window.partitionBy(column(group)).orderBy("_hash", *[column(k) for k in keys])
+    order = Window.partitionBy(column(group)).orderBy(
+        "_hash", *[column(k) for k in keys], "_content"
+    )
 
     def ranked(rows: DataFrame, small_quotas: DataFrame) -> DataFrame:
         return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mlscout.functions.counts import modes
-from mlscout.functions.hashing import key_columns, row_hash
+from mlscout.functions.hashing import content_hash, key_columns, row_hash
 from mlscout.functions.ordering import (
     MAX_GROUP_ROWS,
     exact_quantiles,
@@ -154,7 +154,7 @@ def undersample(
 def shuffle(df: DataFrame, seed: int = 123, key: str | Sequence[str] | None = None) -> DataFrame:
     """Rows in hash order. Spark learners do not need it; for exports that do."""
     keys = key_columns(df, key)
-    return df.orderBy(row_hash(keys, seed), *[column(k) for k in keys])
+    return df.orderBy(row_hash(keys, seed), *[column(k) for k in keys], content_hash(df))
 
 
 def clean(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlscout.functions.hashing import HASH_RANGE, key_columns, row_hash
+from mlscout.functions.hashing import HASH_RANGE, content_hash, key_columns, row_hash
 from mlscout.functions.ordering import MAX_GROUP_ROWS, mark_lowest
 from mlscout.kinds import column
 from mlscout.operators.clean import class_counts
@@ -92,8 +92,11 @@ def assign_folds(
     if stratify is None:
         return hashed.withColumn("fold", by_hash).drop("_hash")
     counts = class_counts(df, stratify)
-    large = [r[0] for r in counts.filter(F.col("_n") > max_group_rows).select(column(stratify)).collect()]
-    order = Window.partitionBy(column(stratify)).orderBy("_hash", *[column(k) for k in keys])
+    too_large = counts.filter(F.col("_n") > max_group_rows)
+    large = [r[0] for r in too_large.select(column(stratify)).collect()]
+    order = Window.partitionBy(column(stratify)).orderBy(
+        "_hash", *[column(k) for k in keys], content_hash(df)
+    )
     dealt = F.pmod(F.row_number().over(order) - 1, F.lit(v)).cast("int")
     if not large:
         return hashed.withColumn("fold", dealt).drop("_hash")

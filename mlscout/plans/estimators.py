@@ -140,7 +140,7 @@ def lasso_regression(penalty: float, mixture: float = 1.0) -> Estimator:
 def lasso_multinomial(penalty: float, mixture: float = 1.0) -> Estimator:
     return LogisticRegression(
         family="multinomial", regParam=penalty, elasticNetParam=mixture,
-        standardization=False, maxIter=100,
+        standardization=False, maxIter=100, tol=1e-5,
     )
 
 

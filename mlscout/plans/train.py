@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mlscout.functions.hashing import key_columns, row_hash
+from mlscout.functions.hashing import content_hash, key_columns, row_hash
 from mlscout.kinds import CATEGORICAL, column, columns_of, drop_nested, missing, present_double
 from mlscout.operators.clean import oversample, undersample
 from mlscout.operators.metrics import metric_set
@@ -41,6 +41,7 @@ COMPARE_ENGINES = ["glmnet", "ranger", "xgboost"]
 MAX_CLASSES = 1000
 IMPORTANCE_ROWS = 20
 PARALLEL_FITS = 4
+ROWS_PER_TASK = 25_000
 PERMUTATION_BUCKET_ROWS = 100_000
 METRIC_SCHEMA = "metric string, estimator string, estimate double"
 CV_SCHEMA = "config string, metric string, mean double, std_err double, n int"
@@ -152,9 +153,16 @@ def _fit(
     return FittedModel(recipe, learner, engine, task_type, target, levels, params)
 
 
-def _features(recipe: FittedRecipe, rows: DataFrame, label, keep: Sequence[str], training: bool):
+def _features(
+    recipe: FittedRecipe, rows: DataFrame, label, keep: Sequence[str], training: bool, n_rows: int
+) -> DataFrame:
+    """``keep``, ``label`` and the assembled ``features``, ready to be cached."""
     if not recipe.features:
         raise ValueError("the recipe leaves no predictor")
+    tasks = -(-n_rows // ROWS_PER_TASK)
+    if tasks < rows.sparkSession.sparkContext.defaultParallelism:
+        # learners run many short jobs: few rows should not pay for many tasks each time
+        rows = rows.coalesce(max(tasks, 1))
     prepared = recipe.apply(rows.withColumn("label", label), training)
     assembled = VectorAssembler(
         inputCols=recipe.features, outputCol="features", handleInvalid="keep"
@@ -189,8 +197,8 @@ def tune(
         held = rows.filter(F.col("fold") == fold)
         n_part = total - sizes[fold]
         fitted = _fit_recipe(recipe, part, engine, n_part)
-        learn = _features(fitted, part, label, [], True).persist(STORAGE)
-        check = _features(fitted, held, label, [target], False).persist(STORAGE)
+        learn = _features(fitted, part, label, [], True, n_part).persist(STORAGE)
+        check = _features(fitted, held, label, [target], False, sizes[fold]).persist(STORAGE)
 
         def run(numbered: tuple[int, dict[str, Any]]) -> DataFrame:
             i, params = numbered
@@ -321,7 +329,7 @@ def train(
                 notes.append(f"tuning failed, defaults are used: {error}")
             fitted = final_recipe.result()
         fitted.ids = [c for c in fitted.ids if c != "fold"]
-        learn = _features(fitted, folded, label, [], True).persist(STORAGE)
+        learn = _features(fitted, folded, label, [], True, n_train).persist(STORAGE)
         try:
             model = _fit(fitted, learn, engine, task_type, target, levels, best, n_train)
         finally:
@@ -415,7 +423,7 @@ def permutation_importance(
     buckets = max(1, total // bucket_rows)
     hashed = rows.withColumn("_hash", row_hash(keys, seed))
     order = Window.partitionBy(F.pmod(row_hash(keys, seed + 1), F.lit(buckets))).orderBy(
-        "_hash", *[column(k) for k in keys]
+        "_hash", *[column(k) for k in keys], content_hash(rows)
     )
     packed = F.struct(*[column(c) for c in inputs])
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
