@@ -38,11 +38,15 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
 
     ``row_number() <= k`` is pushed below the shuffle by the window group limit.
     """
-    window = Window.partitionBy("position", "column").orderBy(F.desc("n"), "value")
+    # missing values are ranked last and dropped after the ranking: a filter before it would
+    # reach the scan and keep the shuffled counts from being shared with other uses
+    window = Window.partitionBy("position", "column").orderBy(
+        F.col("value").isNull(), F.desc("n"), "value"
+    )
     return (
-        counts.filter("value IS NOT NULL")
-        .withColumn("rank", F.row_number().over(window))
+        counts.withColumn("rank", F.row_number().over(window))
         .filter(F.col("rank") <= k)
+        .filter("value IS NOT NULL")
     )
 
 

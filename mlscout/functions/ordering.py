@@ -259,7 +259,9 @@ def mark_lowest(
     at_tie = F.col("_tied") & (F.col("_hash") == F.col("_bound"))
     own = [column(c) for c in df.columns]
     clear = tagged.filter(~at_tie).select(*own, (F.col("_hash") <= F.col("_bound")).alias(flag))
-    small = ranked(hashed, quotas.filter(F.col("_n") <= max_group_rows))
+    # the hot groups leave before the join: their rows are not shuffled to be dropped
+    others = hashed.join(F.broadcast(ids), column(group) == F.col("_value"), "left_anti")
+    small = ranked(others, quotas.filter(F.col("_n") <= max_group_rows))
     result = clear.unionByName(small)
     if any(tied for *_, tied in bounds):
         ties = tagged.filter(at_tie)

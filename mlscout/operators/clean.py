@@ -33,6 +33,7 @@ MISSING_STRATEGIES = ["impute", "remove_rows", "remove_cols", "keep"]
 OUTLIER_STRATEGIES = ["keep", "cap_iqr"]
 BALANCE_STRATEGIES = ["none", "oversample", "undersample"]
 MAX_MISSING_SHARE = 0.5
+MAX_BROADCAST_CLASSES = 100_000
 
 
 def _missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
@@ -115,8 +116,7 @@ def oversample(
     ``max mod n`` rows with the lowest key hash. Rows without a class are dropped.
     """
     counts = class_counts(df, target)
-    extremes = counts.agg(F.max("_n"), F.min("_n")).first()
-    largest, smallest = extremes[0], extremes[1]
+    largest, smallest, n_classes = counts.agg(F.max("_n"), F.min("_n"), F.count("*")).first()
     if largest is None:
         return df.limit(0)
     quotas = counts.withColumn("_k", F.lit(largest) % F.col("_n"))
@@ -124,6 +124,8 @@ def oversample(
         df, target, quotas, key_columns(df, key), seed, "_more", max_group_rows=max_group_rows
     )
     sizes = counts.withColumn("_base", (F.lit(largest) / F.col("_n")).cast("bigint")).drop("_n")
+    if n_classes <= MAX_BROADCAST_CLASSES:
+        sizes = F.broadcast(sizes)  # a hot class must not be shuffled to one task
     repeated = replicate(
         flagged.join(sizes, target),
         F.col("_base") + F.col("_more").cast("bigint"),

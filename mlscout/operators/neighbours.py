@@ -16,9 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mlscout.session import cut_lineage
+
 BLOCK_ROWS = 10_000
 MAX_PIVOTS = 512
 POINTS_PER_PIVOT = 10_000
+STORED_ROWS = 1_000_000  # beyond it, intermediate rows are written instead of recomputed
 SEED = 123
 
 
@@ -77,6 +80,8 @@ def nearest_neighbours(
     in_cells = points.mapInPandas(
         to_cells, f"key {key_type}, point array<double>, cell int, to_pivot double"
     )
+    if total > STORED_ROWS:
+        in_cells = cut_lineage(in_cells)  # read three times below
     # k distances and two numbers per pivot: bounded by the pivot count
     nearest = Window.partitionBy("cell").orderBy("to_pivot")
     inner = (
@@ -116,6 +121,8 @@ def nearest_neighbours(
                 yield pd.DataFrame({"point": list(own[rows]), "cell": ids[hits]})
 
     candidates = visitors.mapInPandas(to_candidates, "point array<double>, cell int")
+    if total > STORED_ROWS:
+        candidates = cut_lineage(candidates)
     loads = {r.cell: r.n for r in candidates.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     grid = spark.createDataFrame(
         [

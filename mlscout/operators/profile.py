@@ -217,8 +217,9 @@ def profile_top_values(df: DataFrame, k: int = 5, max_unique: int = MAX_UNIQUE)
     if not names:
         raise ValueError("no categorical column")
     counts = value_counts(df, names)
-    sizes = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
-    allowed = sizes.filter(F.col("n_unique") <= max_unique).select("column")
+    # both uses read n, so that they share one shuffle of the counts
+    sizes = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.sum("n").alias("rows"))
+    allowed = sizes.filter((F.col("n_unique") <= max_unique) & (F.col("rows") > 0)).select("column")
     return (
         top_values(counts, k)
         .join(allowed, "column", "left_semi")

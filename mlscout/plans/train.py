@@ -42,6 +42,7 @@ MAX_CLASSES = 1000
 IMPORTANCE_ROWS = 20
 PARALLEL_FITS = 4
 ROWS_PER_TASK = 25_000
+PARALLEL_FOLD_ROWS = 50_000_000
 PERMUTATION_BUCKET_ROWS = 100_000
 METRIC_SCHEMA = "metric string, estimator string, estimate double"
 CV_SCHEMA = "config string, metric string, mean double, std_err double, n int"
@@ -182,9 +183,9 @@ def tune(
 ) -> tuple[DataFrame, dict[str, Any]]:
     """Cross-validate every setting; ``rows`` has a ``fold`` column.
 
-    The recipe is fitted again on the training part of every fold. Folds, and the
-    settings of a fold, run side by side on cached features (``parallelism`` of each),
-    and one aggregation evaluates all settings of a fold. Returns the metrics per setting and the best setting.
+    The recipe is fitted again on the training part of every fold. The settings of a
+    fold, and on few rows the folds too, run side by side on cached features, and one
+    aggregation evaluates all settings of a fold. Returns the metrics per setting and the best setting.
     """
     target = recipe.target
     spark = rows.sparkSession
@@ -222,7 +223,9 @@ def tune(
             check.unpersist()
 
     values: dict[tuple[str, str], list[float]] = {}
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+    # many rows fill the cluster with one fold, and one fold at a time is cached then
+    side_by_side = parallelism if total <= PARALLEL_FOLD_ROWS else 1
+    with ThreadPoolExecutor(max_workers=side_by_side) as pool:
         for found in pool.map(run_fold, sorted(sizes)):  # settings x metrics per fold
             for config, metric, estimate in found:
                 values.setdefault((config, metric), []).append(estimate)
