@@ -76,9 +76,10 @@ def assign_folds(
     seed: int = FOLD_SEED,
     stratify: str | None = None,
     *,
+    name: str = "fold",
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Add ``fold`` in 0..v-1.
+    """Add a column ``name`` with the fold in 0..v-1.
 
     Plain folds are the hash modulo ``v``. With ``stratify`` the rows of a class are
     dealt out in hash order, so its fold sizes differ by one at most; a class too large
@@ -90,7 +91,7 @@ def assign_folds(
     hashed = df.withColumn("_hash", row_hash(keys, seed))
     by_hash = F.pmod(F.col("_hash"), F.lit(v)).cast("int")
     if stratify is None:
-        return hashed.withColumn("fold", by_hash).drop("_hash")
+        return hashed.withColumn(name, by_hash).drop("_hash")
     counts = class_counts(df, stratify)
     too_large = counts.filter(F.col("_n") > max_group_rows)
     large = [r[0] for r in too_large.select(column(stratify)).collect()]
@@ -99,11 +100,11 @@ def assign_folds(
     )
     dealt = F.pmod(F.row_number().over(order) - 1, F.lit(v)).cast("int")
     if not large:
-        return hashed.withColumn("fold", dealt).drop("_hash")
+        return hashed.withColumn(name, dealt).drop("_hash")
     # at most (all rows / max_group_rows) values
     is_large = F.coalesce(column(stratify).isin(large), F.lit(False))
-    hot = hashed.filter(is_large).withColumn("fold", by_hash)
-    rest = hashed.filter(~is_large).withColumn("fold", dealt)
+    hot = hashed.filter(is_large).withColumn(name, by_hash)
+    rest = hashed.filter(~is_large).withColumn(name, dealt)
     return hot.unionByName(rest).drop("_hash")
 
 

@@ -62,16 +62,10 @@ class FittedModel:
     levels: list[Any]
     params: dict[str, Any]
 
-    def features(self, df: DataFrame, training: bool = False) -> DataFrame:
-        rows = self.recipe.apply(df, training)
-        return VectorAssembler(
-            inputCols=self.recipe.features, outputCol="features", handleInvalid="keep"
-        ).transform(rows)
-
-    def score(self, features: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """``keep`` columns plus ``prediction`` and, for classes, ``probability``."""
+    def score(self, features: DataFrame) -> DataFrame:
+        """The packed columns plus ``prediction`` and, for classes, ``probability``."""
         scored = self.learner.transform(features)
-        own = [column(c) for c in keep]
+        own = ["_kept.*"] if "_kept" in features.columns else []
         if self.task_type == REGRESSION:
             return scored.select(*own, F.col("prediction").cast("double").alias("prediction"))
         known = F.array(*[F.lit(v) for v in self.levels])
@@ -80,7 +74,24 @@ class FittedModel:
         return scored.select(*own, label, chances)
 
     def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return self.score(self.features(df), list(keep))
+        """Predictions for raw rows, next to the ``keep`` columns as they came."""
+        return self.score(_assemble(self.recipe, _pack(df, keep), False))
+
+
+def _pack(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Set columns aside in one struct: no recipe step or learner can meet their names."""
+    return df.withColumn("_kept", F.struct(*[column(c) for c in keep])) if keep else df
+
+
+def _assemble(recipe: FittedRecipe, rows: DataFrame, training: bool) -> DataFrame:
+    if not recipe.features:
+        raise ValueError("the recipe leaves no predictor")
+    vectors = VectorAssembler(
+        inputCols=recipe.features, outputCol="_vector", handleInvalid="keep"
+    ).transform(recipe.apply(rows, training))
+    own = [c for c in ("_kept", "_label") if c in rows.columns]
+    named = [F.col(c).alias("label") if c == "_label" else c for c in own]
+    return vectors.select(*named, F.col("_vector").alias("features"))
 
 
 @dataclass
@@ -157,18 +168,12 @@ def _fit(
 def _features(
     recipe: FittedRecipe, rows: DataFrame, label, keep: Sequence[str], training: bool, n_rows: int
 ) -> DataFrame:
-    """``keep``, ``label`` and the assembled ``features``, ready to be cached."""
-    if not recipe.features:
-        raise ValueError("the recipe leaves no predictor")
+    """Packed ``keep`` columns, ``label`` and ``features``, ready to be cached."""
     tasks = -(-n_rows // ROWS_PER_TASK)
     if tasks < rows.sparkSession.sparkContext.defaultParallelism:
         # learners run many short jobs: few rows should not pay for many tasks each time
         rows = rows.coalesce(max(tasks, 1))
-    prepared = recipe.apply(rows.withColumn("label", label), training)
-    assembled = VectorAssembler(
-        inputCols=recipe.features, outputCol="features", handleInvalid="keep"
-    ).transform(prepared)
-    return assembled.select(*[column(c) for c in keep], "label", "features")
+    return _assemble(recipe, _pack(rows.withColumn("_label", label), keep), training)
 
 
 def tune(
@@ -181,7 +186,7 @@ def tune(
     grid: Sequence[dict[str, Any]],
     parallelism: int = PARALLEL_FITS,
 ) -> tuple[DataFrame, dict[str, Any]]:
-    """Cross-validate every setting; ``rows`` has a ``fold`` column.
+    """Cross-validate every setting; ``rows`` has a ``_fold`` column.
 
     The recipe is fitted again on the training part of every fold. The settings of a
     fold, and on few rows the folds too, run side by side on cached features, and one
@@ -190,12 +195,12 @@ def tune(
     target = recipe.target
     spark = rows.sparkSession
     label = _label(rows, target, levels, task_type)
-    sizes = {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}
+    sizes = {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}
     total = sum(sizes.values())
 
     def run_fold(fold: int) -> list[tuple[str, str, float]]:
-        part = rows.filter(F.col("fold") != fold)
-        held = rows.filter(F.col("fold") == fold)
+        part = rows.filter(F.col("_fold") != fold)
+        held = rows.filter(F.col("_fold") == fold)
         n_part = total - sizes[fold]
         fitted = _fit_recipe(recipe, part, engine, n_part)
         learn = _features(fitted, part, label, [], True, n_part).persist(STORAGE)
@@ -204,7 +209,7 @@ def tune(
         def run(numbered: tuple[int, dict[str, Any]]) -> DataFrame:
             i, params = numbered
             model = _fit(fitted, learn, engine, task_type, target, levels, params, n_part)
-            return model.score(check, [target]).withColumn("config", F.lit(str(i)))
+            return model.score(check).withColumn("_config", F.lit(str(i)))
 
         try:
             with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -215,9 +220,9 @@ def tune(
             found = metric_set(
                 together, target, "prediction", task_type,
                 probability="probability" if task_type == CLASSIFICATION else None,
-                levels=levels or None, by=["config"], group_rows=sizes[fold],
+                levels=levels or None, by=["_config"], group_rows=sizes[fold],
             )
-            return [(r.config, r.metric, r.estimate) for r in found.collect()]
+            return [(r["_config"], r.metric, r.estimate) for r in found.collect()]
         finally:
             learn.unpersist()
             check.unpersist()
@@ -255,7 +260,7 @@ def cv_metrics(
     rows: DataFrame, recipe: Recipe, engine: str, task_type: str, params: dict[str, Any],
     levels: list[Any],
 ) -> DataFrame:
-    """Fold means of every metric for one setting; ``rows`` has a ``fold`` column."""
+    """Fold means of every metric for one setting; ``rows`` has a ``_fold`` column."""
     table, _ = tune(rows, recipe, engine, task_type, levels=levels, grid=[params])
     return table
 
@@ -283,22 +288,24 @@ def train(
     if target not in df.columns:
         raise ValueError(f"target column '{target}' not found")
     check_engine(engine, task_type)
+    ids = [] if key is None else key_columns(df, key)
+    taken = {"prediction", "probability"} & {target, *ids} | {"is_train"} & set(df.columns)
+    if taken:
+        raise ValueError(f"rename the columns {sorted(taken)}: the results use these names")
     df, nested = drop_nested(df)
     notes = [f"nested columns are not used: {', '.join(nested)}"] if nested else []
-    ids = [] if key is None else key_columns(df, key)
     rows = df.filter(~missing(df, target))
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
         parts: Split = split(rows, target, task_type, key=key)
     notes += [str(w.message) for w in caught if w.category is UserWarning]
-    marked = parts.rows.persist(STORAGE)
-    train_rows = marked.filter("is_train").drop("is_train")
-    test_rows = marked.filter("NOT is_train").drop("is_train")
-    held = [marked]
+    # the split is a function of the rows: only the training side is cached, and the test
+    # side is derived again when it is scored
+    train_rows, test_rows = parts.train, parts.test
+    held: list[DataFrame] = []
     try:
-        levels = _class_levels(train_rows, target) if task_type == CLASSIFICATION else []
         stratify = target if task_type == CLASSIFICATION and parts.stratified else None
-        folded = assign_folds(train_rows, cv_folds, key, stratify=stratify)
+        folded = assign_folds(train_rows, cv_folds, key, stratify=stratify, name="_fold")
         if balance != "none":
             if balance not in ("oversample", "undersample"):
                 raise ValueError(f"unknown balance '{balance}'")
@@ -308,16 +315,17 @@ def train(
         folded = folded.persist(STORAGE)
         held.append(folded)
         used = recipe or default_recipe(target)
-        used = Recipe(used.target, used.steps, sorted({*used.ids, *ids, "fold"}))
+        used = Recipe(used.target, used.steps, sorted({*used.ids, *ids, "_fold"}))
 
         fixed = params or {}
         best: dict[str, Any] = {**DEFAULTS.get(engine, {}), **fixed}
         settings = [best]
         if has_tunables(engine) and tune_grid > 0:
             settings = [{**best, **s, **fixed} for s in tuning_grid(engine, tune_grid)]
-        table = None
-        label = _label(folded, target, levels, task_type)
         n_train = folded.count()
+        levels = _class_levels(folded, target) if task_type == CLASSIFICATION else []
+        label = _label(folded, target, levels, task_type)
+        table = None
         with ThreadPoolExecutor(max_workers=1) as beside:
             # the final recipe does not depend on the tuning: fit it meanwhile
             final_recipe = beside.submit(_fit_recipe, used, folded, engine, n_train)
@@ -331,7 +339,7 @@ def train(
             except Exception as error:  # tuning is optional: train with the defaults
                 notes.append(f"tuning failed, defaults are used: {error}")
             fitted = final_recipe.result()
-        fitted.ids = [c for c in fitted.ids if c != "fold"]
+        fitted.ids = [c for c in fitted.ids if c != "_fold"]
         learn = _features(fitted, folded, label, [], True, n_train).persist(STORAGE)
         try:
             model = _fit(fitted, learn, engine, task_type, target, levels, best, n_train)
@@ -434,18 +442,18 @@ def permutation_importance(
         "_next", F.coalesce(F.lead(packed).over(order), F.first(packed).over(whole))
     ).persist(STORAGE)
     try:
-        parts = [model.predict(swapped, [target]).withColumn("variable", F.lit(None).cast("string"))]
+        parts = [model.predict(swapped, [target]).withColumn("_variable", F.lit(None).cast("string"))]
         for c in inputs:
             changed = swapped.withColumn(c, F.col("_next")[c])
-            parts.append(model.predict(changed, [target]).withColumn("variable", F.lit(c)))
+            parts.append(model.predict(changed, [target]).withColumn("_variable", F.lit(c)))
         together = parts[0]
         for part in parts[1:]:
             together = together.unionByName(part)
         found = metric_set(
             together, target, "prediction", model.task_type,
-            levels=model.levels or None, by=["variable"],
+            levels=model.levels or None, by=["_variable"],
         ).filter(F.col("metric") == metric)
-        values = {r.variable: r.estimate for r in found.collect()}  # one row per column
+        values = {r["_variable"]: r.estimate for r in found.collect()}  # one row per column
     finally:
         swapped.unpersist()
     base = values.pop(None)

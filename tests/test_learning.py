@@ -107,6 +107,19 @@ def test_comparison_skips_failures(planted):
     found.release()
 
 
+def test_common_column_names_do_not_collide(planted):
+    names = {"k": "label", "x1": "features", "x2": "fold", "c": "n", "noise": "metric"}
+    df = planted.drop("y").withColumnsRenamed(names)
+    result = train(df, "label", "rpart", "classification", cv_folds=2, tune_grid=1, key="id")
+    assert _estimates(result)["accuracy"] > 0.6
+    assert result.predictions.columns == ["id", "label", "prediction", "probability"]
+    assert {"features", "fold"} <= {r.variable for r in result.importance.collect()}
+    assert validate(result, df).metrics.count() > 3
+    result.release()
+    with pytest.raises(ValueError, match="rename"):
+        train(df.withColumnRenamed("label", "prediction"), "prediction", "rpart", "classification")
+
+
 def test_wrong_engine_is_refused(planted):
     with pytest.raises(ValueError, match="naive Bayes"):
         train(planted, "y", "naivebayes", "regression")
