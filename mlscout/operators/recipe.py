@@ -1,8 +1,8 @@
 """Feature recipes: fitted on training rows only, applied anywhere.
 
 ``Step.fit`` reads aggregates and returns plain parameters; ``apply`` turns the
-parameters into Column expressions, so a fitted recipe is one projection that
-Catalyst fuses, and it can be stored as JSON.
+parameters into Column expressions, so a fitted recipe is a chain of projections that
+Catalyst fuses into one stage, and it can be stored as JSON.
 """
 
 from __future__ import annotations
