@@ -7,15 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch one in tests.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, as a path.
 
-    ``spark.checkpoint.dir`` is the cluster's setting and wins whenever it is set.
+    Where it is unset, a run on one machine gets a scratch folder; a cluster has to name
+    one, because its executors cannot see each other's temporary folders.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="mlscout-checkpoint-"))
+    current = context.getCheckpointDir()
+    if current is not None:
+        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="mlscout-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
