@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlscout.llm import archives, bpe, mixing, neighbours, ngram_join, repeats, resharding, token_files, toxicity
+from mlscout.llm import archives, bpe, mixing, neighbours, ngram_join, repeats, resharding, token_files, topk, toxicity
 
 SHARDS, OLD_SHARDS = 24, 16
 QUERY_EVERY = 50
@@ -29,6 +29,12 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_bm25_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 50th document asks with its whole text; all documents are searched."""
+    docs = table(spark, folder, "documents")
+    return topk.search(docs, docs.filter(F.col("doc_id") % QUERY_EVERY == 0))
+
+
 def op4_resharding(spark: SparkSession, folder: str) -> DataFrame:
     """The old layout deals ids to 16 shards by checksum; the new one has 24 of equal bytes."""
     docs = table(spark, folder, "documents")
@@ -81,6 +87,7 @@ QUERIES = {
     for f in (
         op1_byte_bpe,
         op2_ngram_jaccard,
+        op3_bm25_top_k,
         op4_resharding,
         op5_zip_warc,
         op6_token_files,

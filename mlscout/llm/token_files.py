@@ -53,14 +53,17 @@ class WordTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, word: bytes) -> bytes:
+        found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
+        return np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        words = text.split()
+    def encode(self, text: bytes) -> bytes:
+        words = text.split()  # at the six ASCII blanks; other white space stays inside
         new = list(dict.fromkeys(w for w in words if w not in self.word and w not in self.word.older))
         if len(new) > 8:
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+            found = self.tokenizer.encode_batch(
+                [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
+            )
             made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
             self.word.remember(made)
             return b"".join(made[w] if w in made else self.word[w] for w in words)
@@ -102,7 +105,9 @@ class PairWriter:
 
     def _sequences(self, last: bool) -> None:
         flat = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
-        full = len(flat) // self.length * self.length
+        # batches within a file have equal length, so that a place tells its batch
+        step = self.length * (1 if last else SEQUENCES_PER_BATCH)
+        full = len(flat) // step * step
         body, rest = flat[:full], flat[full:]
         mask = np.ones(full, np.uint8)
         if last and len(rest):
@@ -154,7 +159,7 @@ def write(
                     some.column(0).to_pylist(), byte_rows(some.column(1)), some.column(2).to_pylist()
                 ):
                     writer = writer or PairWriter(folder, length)
-                    ids = np.frombuffer(words.encode(raw.decode("utf-8", "replace")), np.uint32)
+                    ids = np.frombuffer(words.encode(raw), np.uint32)
                     writer.add(doc_id, np.concatenate([ids, end]))
         if writer:
             writer.close()
@@ -187,6 +192,8 @@ class SequenceFile:
         self.source = pa.memory_map(inner) if local else system.open_input_file(inner)
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
+        # all batches but the last have this many sequences
+        self.per_batch = max(1, self.reader.get_batch(0).num_rows) if self.reader.num_record_batches else 1
         self._at: tuple[int, np.ndarray] | None = None
 
     def _batch(self, i: int) -> np.ndarray:
@@ -195,19 +202,21 @@ class SequenceFile:
         return self._at[1]
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        """Tokens ``start`` to ``start + n`` of the file; whole inner batches have equal length."""
-        step = self.length * SEQUENCES_PER_BATCH
+        """Tokens ``start`` to ``start + n`` of the file; inner batches have equal length."""
+        step = self.length * self.per_batch
         parts = []
         while n > 0:
             i, at = divmod(start, step)
             part = self._batch(i)[at : at + n]
+            if not len(part):
+                raise EOFError("the file ends before the tokens asked for")
             parts.append(part)
             start, n = start + len(part), n - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)])
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i, as views of the file."""
-        batch, row = divmod(i, SEQUENCES_PER_BATCH)
+        batch, row = divmod(i, self.per_batch)
         found = self.reader.get_batch(batch)
         return tuple(found.column(c)[row].values.to_numpy() for c in (0, 1))
 
