@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mlscout.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 1 << 20  # text that one vectorised step works on
-WORD_CACHE = 200_000  # words a Python worker remembers
+WORD_CACHE = 150_000  # words a Python worker remembers
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from mlscout.llm.common import Memo, byte_rows, over_batches
 
@@ -31,6 +32,8 @@ STEM = (4, 12)  # characters of a stem
 FUZZY_FROM = 5  # stems of at least so many characters may be misspelled
 EDITS = 1
 WINDOW = 4
+PREFIX = 4  # characters that decide whether a word is worth a walk
+WORDS = 150_000  # words remembered
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*_-"
 QUOTES = "\"“”„«»"
 SAYING = frozenset(
@@ -47,8 +50,6 @@ class Lexicon:
         self.children: list[dict[str, int]] = [{}]
         self.weight: list[float] = [0.0]
         self.length = [0]
-        self.heads: set[str] = set()
-        self.tails: dict[str, set[int]] = {}
         for stem, weight in weights.items():
             node = 0
             for c in stem:
@@ -59,16 +60,11 @@ class Lexicon:
                     self.length.append(self.length[node] + 1)
                 node = self.children[node][c]
             self.weight[node] = weight
-            if len(stem) >= FUZZY_FROM:
-                half = len(stem) // 2
-                self.heads.add(stem[:half])
-                self.tails.setdefault(stem[half:], set()).add(half)
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
-        self.find = Memo(self._find)
-
-    def _find(self, raw: str) -> tuple[float, int]:
-        """(weight, edits) of the best stem that begins a word, (0, 0) if there is none."""
+        self.hopeful = Memo(self._hopeful, 100_000)
+        self.find = Memo(self._find, WORDS)
+
+    def _find(self, raw: str) -> tuple[float, int] | bool:
+        """(weight, edits) of the best stem that begins a word, or False."""
         word = raw.strip(EDGES)
         node, best = 0, 0.0
         for c in word:
@@ -78,39 +74,35 @@ class Lexicon:
             best = max(best, self.weight[node])
         if best > 0:
             return best, 0
-        if len(word) < FUZZY_FROM - 1 or not self._possible(word):
-            return 0.0, 0
-        return self._walk(word)
-
-    def _possible(self, word: str) -> bool:
-        """One edit leaves one half of a stem intact: its head in place or its tail near by."""
-        if any(word[:n] in self.heads for n in self.head_sizes):
-            return True
-        for n in self.tail_sizes:
-            for at in range(1, len(word) - n + 1):
-                halves = self.tails.get(word[at : at + n])
-                if halves and any(abs(at - h) <= EDITS for h in halves):
-                    return True
-        return False
-
-    def _walk(self, word: str) -> tuple[float, int]:
-        """Walks the trie with the automaton of a word.
+        if len(word) < FUZZY_FROM - EDITS or not self.hopeful[word[:PREFIX]]:
+            return False
+        best = self._walk(word, len(word))
+        return (best, EDITS) if best > 0 else False
+
+    def _hopeful(self, prefix: str) -> bool:
+        """Whether any word with this prefix may match: what follows is taken as fitting."""
+        return self._walk(prefix, len(prefix)  + 20) > 0
+
+    def _walk(self, word: str, length: int) -> float:
+        """Walks the trie with the automaton of a word; the best weight that it accepts.
 
         Bit i of ``reached[e]`` says that the first i characters of the word match the path
-        with e edits. A stem matches if any beginning of the word does.
+        with e edits. A stem matches if any beginning of the word does. Characters of the
+        word beyond those given, up to ``length``, fit everything.
         """
+        unknown = ((1 << length) - 1) & ~((1 << len(word)) - 1)
         bits: dict[str, int] = {}
         for i, c in enumerate(word):
-            bits[c] = bits.get(c, 0) | 1 << i
-        full = (1 << (len(word) + 1)) - 1
+            bits[c] = bits.get(c, unknown) | 1 << i
+        full = (1 << (length + 1)) - 1
         start = [1]
         for _ in range(EDITS):
             start.append((start[-1] | start[-1] << 1) & full)
-        best, todo = (0.0, 0), [(0, start)]
+        best, todo = 0.0, [(0, start)]
         while todo:
             node, reached = todo.pop()
             for c, child in self.children[node].items():
-                mask = bits.get(c, 0)
+                mask = bits.get(c, unknown)
                 moved = [(reached[0] & mask) << 1]
                 for e in range(1, EDITS + 1):
                     same = (reached[e] & mask) << 1
@@ -120,8 +112,8 @@ class Lexicon:
                     moved.append((same | changed | missing | extra | moved[e - 1]) & full)
                 if not moved[-1]:
                     continue
-                if self.weight[child] > best[0] and self.length[child] >= FUZZY_FROM:
-                    best = (self.weight[child], EDITS)
+                if self.length[child] >= FUZZY_FROM:
+                    best = max(best, self.weight[child])
                 todo.append((child, moved))
         return best
 
@@ -129,9 +121,9 @@ class Lexicon:
         """What was matched in a text; all zero if nothing was."""
         raw = text.lower().split()
         found = list(map(self.find.__getitem__, raw))
-        hits = [i for i, (w, _) in enumerate(found) if w > 0]
-        if not hits:
+        if not any(found):
             return [0.0] * N_FEATURES
+        hits = [i for i, x in enumerate(found) if x]
         exact = fuzzy = quoted = addressed = 0
         strongest, open_marks, last = 0.0, 0, 0
         stems = set()
@@ -164,6 +156,8 @@ class ToxicityModel:
         self.stems, self.coefficients, self.intercept = stems, coefficients, intercept
         self._lexicon: Lexicon | None = None
 
+    _shared: dict[int, Lexicon] = {}  # of the worker: tasks of one model share what they found
+
     def __getstate__(self):
         return self.stems, self.coefficients, self.intercept
 
@@ -174,7 +168,11 @@ class ToxicityModel:
     @property
     def lexicon(self) -> Lexicon:
         if self._lexicon is None:
-            self._lexicon = Lexicon(self.stems)
+            key = hash(frozenset(self.stems.items()))
+            if key not in self._shared:
+                self._shared.clear()
+                self._shared[key] = Lexicon(self.stems)
+            self._lexicon = self._shared[key]
         return self._lexicon
 
     def score(self, text: str) -> float:
@@ -299,13 +297,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> ToxicityMo
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
-    """Add the score of every text; no shuffle."""
+    """Add the score of every text, replacing a column of that name; no shuffle."""
+    rows = docs.drop(column)
+    at = rows.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        return texts.map(lambda t: model.score(t or ""))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 200):
+                some = batch.slice(begin, 200)
+                found = [model.score(r.decode("utf-8", "replace")) for r in byte_rows(some.column(at))]
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(found, pa.float64())], [*some.schema.names, column]
+                )
 
-    return docs.withColumn(column, scores(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:

@@ -295,7 +295,7 @@ def test_lexicon_finds_misspellings_as_edit_distance_does():
             w for s, w in stems.items()
             if len(s) >= 5 and any(distance(word[:n], s) <= 1 for n in range(len(word) + 1))
         ]
-        expected = (max(exact), 0) if exact else ((max(near), 1) if near else (0.0, 0))
+        expected = (max(exact), 0) if exact else ((max(near), 1) if near else False)
         assert lexicon.find[word] == expected, word
 
 
