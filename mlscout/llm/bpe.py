@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from mlscout.llm.common import Memo, byte_rows, over_batches
 
-MAX_STATES = 250_000  # states kept before the lazy construction starts afresh
-WORDS = 200_000  # words and pieces remembered
+MAX_STATES = 150_000  # states kept before the lazy construction starts afresh
+WORDS = 120_000  # words and pieces remembered
 EMIT_BYTES = 4096  # bytes after which a long piece emits what is final
 DECODE_CHUNK = 4096  # ids that the streaming decoder takes at a time
 
@@ -63,7 +63,7 @@ class MergeTransducer:
                 self._merge[parts[0], parts[1]] = rank
             self._insert(token, rank)
         self._spines = Memo(self._spine, 100_000)
-        self._fit = Memo(self._may_follow, 200_000)
+        self._fit = Memo(self._may_follow, 100_000)
         self._restart()
 
     def _replay(self, token: bytes, below: int) -> list[int]:
