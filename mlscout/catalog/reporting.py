@@ -190,12 +190,12 @@ IMPORTANCE_SQL = "imp AS (" + " UNION ALL ".join(
 @query(
     "findings_importance",
     f"WITH {IMPORTANCE_SQL}, k AS (SELECT variable, importance, row_number() OVER (ORDER BY importance DESC, variable) "
-    "AS rank, importance * 100 / sum(importance) OVER () AS share FROM imp) SELECT CAST(rank AS INTEGER) AS rank, "
-    "'importance' AS section, variable AS item, round(share, 1) AS value, CAST(NULL AS VARCHAR) AS band, "
-    f"'{N.IMPORTANCE_CAVEATS['ranger']}' AS advice FROM k WHERE rank <= 5",
+    "AS rank, round(importance * 100 / sum(importance) OVER (), 1) AS share FROM imp) SELECT CAST(rank AS INTEGER) AS "
+    "rank, 'importance' AS section, variable AS item, share AS value, CASE WHEN share >= 50 THEN 'dominant' END AS band, "
+    "CASE WHEN share >= 50 THEN 'check_that_it_is_known_beforehand' END AS advice FROM k WHERE rank <= 5",
 )
 def _(spark, folder):
-    return N.importance_findings(_importance(spark, folder), "ranger")
+    return N.importance_findings(_importance(spark, folder))
 
 
 @query(
@@ -206,57 +206,54 @@ def _(spark, folder):
     return rounded(N.importance_chart(_importance(spark, folder), 4))
 
 
-def _codes_sql(section, codes, where=""):
-    return " UNION ALL ".join(
-        f"SELECT '{section}' AS section, '{i}' AS item, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS band, "
-        f"'{c}' AS advice {where}"
-        for i, c in enumerate(codes, 1)
+def _remark(item, value, test, advice):
+    return (
+        f"SELECT 'remark' AS section, '{item}' AS item, {value} AS value, CAST(NULL AS VARCHAR) AS band, "
+        f"'{advice}' AS advice FROM m WHERE {test}"
     )
 
 
+TOP_SQL = (
+    "(SELECT 'key_finding', variable, round(importance * 100 / sum(importance) OVER (), 1), CASE WHEN importance * 100 / "
+    "sum(importance) OVER () >= 50 THEN 'dominant' END, CASE WHEN importance * 100 / sum(importance) OVER () >= 50 THEN "
+    "'check_that_it_is_known_beforehand' END FROM imp ORDER BY importance DESC, variable LIMIT 1)"
+)
+
+
 @query(
     "recommendations",
-    f"{FLAG_M}, {IMPORTANCE_SQL} "
-    + _codes_sql("improve", N.IMPROVE_CLASSIFICATION, "FROM m WHERE acc < 0.8")
-    + " UNION ALL (SELECT 'key_finding', variable, round(importance, 4), NULL, 'look_after_data_quality' FROM imp "
-    "ORDER BY importance DESC, variable LIMIT 1) UNION ALL "
-    + _codes_sql("before_use", N.BEFORE_USE),
+    f"SELECT section, item, round(value, 4) AS value, band, advice FROM ({FLAG_M}, {IMPORTANCE_SQL} "
+    + " UNION ALL ".join(
+        [
+            _remark("accuracy", "acc", "acc < 0.8", "errors_are_frequent"),
+            _remark("precision", "pr", "pr < rc - 0.1", "false_alarms_prevail"),
+            _remark("recall", "rc", "rc < pr - 0.1", "misses_prevail"),
+            _remark("roc_auc", "auc", "auc < 0.7", "scores_order_rows_poorly"),
+            TOP_SQL,
+        ]
+    )
+    + ")",
 )
 def _(spark, folder):
     found = N.recommendations(_flag_metrics(spark, folder), _importance(spark, folder), "classification")
     return rounded(found, 4)
 
 
-def _steps_sql(cte, test, good, other, engine):
-    rows = [f"('good', {i}, '{s}', NULL)" for i, s in enumerate(good, 1)]
-    rows += [
-        f"('improve', {i}, '{s}', {'NULL' if e in (None, engine) else repr(e)})"
-        for i, (s, e) in enumerate(other, 1)
-    ]
+def _steps_sql(cte, test, engines):
+    rows = ["('good', 1, 'score_new_rows', NULL)"]
+    rows += [f"('improve', {i}, 'compare_engine', '{e}')" for i, e in enumerate(engines, 1)]
     return (
         f"{cte} SELECT state, seq, step, suggested FROM (VALUES {', '.join(rows)}) v(state, seq, step, suggested), m "
         f"WHERE state = CASE WHEN {test} THEN 'good' ELSE 'improve' END"
     )
 
 
-@query(
-    "next_steps_regression",
-    _steps_sql(
-        PRICE_M, "rsq >= 0.7", ["use_for_predictions", "validate_on_new_data", "document_assumptions"],
-        [("add_predictors", None), ("try_boosting", "xgboost"), ("check_nonlinearity", "ranger")], "ranger",
-    ),
-)
+@query("next_steps_regression", _steps_sql(PRICE_M, "rsq >= 0.7", ["glmnet", "xgboost"]))
 def _(spark, folder):
-    return N.next_steps(_price_metrics(spark, folder), "ranger", "regression")
+    return N.next_steps(_price_metrics(spark, folder), "rpart", "regression")
 
 
-@query(
-    "next_steps_classification",
-    _steps_sql(
-        FLAG_M, "acc >= 0.85", ["classifies_well", "weigh_error_costs", "test_with_stakeholders"],
-        [("try_ensembles", "xgboost"), ("rebalance_classes", None), ("study_errors", None)], "ranger",
-    ),
-)
+@query("next_steps_classification", _steps_sql(FLAG_M, "acc >= 0.85", ["glmnet", "rpart", "xgboost"]))
 def _(spark, folder):
     return N.next_steps(_flag_metrics(spark, folder), "ranger", "classification")
 

@@ -220,7 +220,7 @@ def normality(rows: DataFrame, residual: str = "residual") -> DataFrame:
             F.lit("inspect_qq_plot").alias("test"),
             "statistic",
             "p_value",
-            F.lit(False).alias("warning"),
+            (F.col("p_value") < NORMALITY_ALPHA).alias("warning"),
         )
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlscout.functions.hashing import HASH_RANGE, content_hash, key_columns, row_hash
-from mlscout.functions.ordering import MAX_GROUP_ROWS, mark_lowest
+from mlscout.functions.ordering import MAX_GROUP_ROWS, mark_lowest, prefix_sums
 from mlscout.kinds import column
 from mlscout.operators.clean import class_counts
 from mlscout.operators.task import CLASSIFICATION
@@ -81,31 +81,30 @@ def assign_folds(
 ) -> DataFrame:
     """Add a column ``name`` with the fold in 0..v-1.
 
-    Plain folds are the hash modulo ``v``. With ``stratify`` the rows of a class are
-    dealt out in hash order, so its fold sizes differ by one at most; a class too large
-    for one window keeps the hash modulo, whose deviation is negligible at that size.
+    Plain folds are the hash modulo ``v``. With ``stratify`` the rows of a class are dealt
+    out in hash order, so its fold sizes differ by one at most, however large it is: the
+    copies of a row are counted, running sums tell where each row begins, and classes above
+    ``max_group_rows`` get these sums from ranges instead of one window.
     """
     if not 2 <= v:
         raise ValueError("at least two folds are needed")
     keys = key_columns(df, key)
     hashed = df.withColumn("_hash", row_hash(keys, seed))
-    by_hash = F.pmod(F.col("_hash"), F.lit(v)).cast("int")
     if stratify is None:
-        return hashed.withColumn(name, by_hash).drop("_hash")
-    counts = class_counts(df, stratify)
-    too_large = counts.filter(F.col("_n") > max_group_rows)
-    large = [r[0] for r in too_large.select(column(stratify)).collect()]
-    order = Window.partitionBy(column(stratify)).orderBy(
-        "_hash", *[column(k) for k in keys], content_hash(df)
+        return hashed.withColumn(name, F.pmod(F.col("_hash"), F.lit(v)).cast("int")).drop("_hash")
+    place = F.format_string("%016d %020d", F.col("_hash"), content_hash(df))
+    placed = hashed.select(
+        *[column(c) for c in df.columns],
+        F.to_json(F.struct(column(stratify).alias("c"))).alias("_class"),
+        place.alias("_place"),
     )
-    dealt = F.pmod(F.row_number().over(order) - 1, F.lit(v)).cast("int")
-    if not large:
-        return hashed.withColumn(name, dealt).drop("_hash")
-    # at most (all rows / max_group_rows) values
-    is_large = F.coalesce(column(stratify).isin(large), F.lit(False))
-    hot = hashed.filter(is_large).withColumn(name, by_hash)
-    rest = hashed.filter(~is_large).withColumn(name, dealt)
-    return hot.unionByName(rest).drop("_hash")
+    copies = placed.groupBy("_class", "_place").agg(F.count("*").alias("_same"))
+    starts = prefix_sums(copies, ["_class"], "_place", ["_same"], max_group_rows=max_group_rows)
+    starts = starts.select("_class", "_place", "_same_before")
+    again = Window.partitionBy("_class", "_place").orderBy(F.lit(0))
+    nth = F.col("_same_before") + F.row_number().over(again) - 1
+    dealt = placed.join(starts, ["_class", "_place"]).withColumn(name, F.pmod(nth, F.lit(v)).cast("int"))
+    return dealt.select(*[column(c) for c in df.columns if c != name], name)
 
 
 def class_shares(rows: DataFrame, target: str, part: str) -> DataFrame:

@@ -46,22 +46,20 @@ IMPROVE_BELOW = {"rsq": 0.5, "accuracy": 0.8}
 GOOD_FROM = {"rsq": 0.7, "accuracy": 0.85}
 TOP_FEATURES = 5
 
-IMPROVE_REGRESSION = [
-    "add_predictors", "engineer_features", "try_nonlinear_model", "check_outliers", "collect_rows",
-]
-IMPROVE_CLASSIFICATION = [
-    "check_class_balance", "add_distinguishing_features", "try_ensembles", "move_threshold",
-    "study_errors",
-]
-BEFORE_USE = [
-    "validate_on_new_data", "check_leakage", "weigh_error_costs", "document_assumptions",
-    "plan_monitoring",
-]
-IMPORTANCE_CAVEATS = {
-    "ranger": "impurity_favours_many_levels",
-    "glmnet": "coefficients_unstable_if_correlated",
-    "xgboost": "gain_shared_by_correlated_features",
+# Our own rules: what was measured, the test that makes it worth a remark, the remark.
+REMARKS = {
+    "regression": [
+        ("rsq", f"rsq < {IMPROVE_BELOW['rsq']}", "fit_misses_half_of_the_variation"),
+        ("rmse", "rmse > 1.5 * mae", "few_large_errors_dominate"),
+    ],
+    "classification": [
+        ("accuracy", f"accuracy < {IMPROVE_BELOW['accuracy']}", "errors_are_frequent"),
+        ("precision", f"precision < recall - {PR_GAP}", "false_alarms_prevail"),
+        ("recall", f"recall < precision - {PR_GAP}", "misses_prevail"),
+        ("roc_auc", "roc_auc < 0.7", "scores_order_rows_poorly"),
+    ],
 }
+DOMINANT_SHARE = 50.0  # percent of the importance from which one feature carries a model
 
 
 def _at_least(value: Column, bands: list[tuple[float, str]], lowest: str, strict: bool = False) -> Column:
@@ -154,93 +152,66 @@ def f1_auc_bands(metrics: DataFrame) -> DataFrame:
     return rows.filter("value IS NOT NULL")
 
 
-def importance_findings(importance: DataFrame, engine: str | None = None) -> DataFrame:
+def importance_findings(importance: DataFrame) -> DataFrame:
     """Top features with their share of the listed importance, in percent (1 dp)."""
     # at most IMPORTANCE_ROWS rows
     all_rows = Window.partitionBy(F.lit(0))
     total = F.sum("importance").over(all_rows)
     place = F.row_number().over(all_rows.orderBy(F.desc("importance"), "variable"))
-    caveat = F.lit(IMPORTANCE_CAVEATS.get(engine or "")).cast("string")
+    share = F.round(F.try_divide(F.col("importance") * 100, total), 1)
     return (
-        importance.withColumns(
-            {
-                "rank": place,
-                "value": F.round(F.try_divide(F.col("importance") * 100, total), 1),
-            }
-        )
+        importance.withColumns({"rank": place, "value": share})
         .filter(F.col("rank") <= TOP_FEATURES)
         .select(
             "rank",
             F.lit("importance").alias("section"),
             F.col("variable").alias("item"),
             "value",
-            F.lit(None).cast("string").alias("band"),
-            caveat.alias("advice"),
+            F.when(F.col("value") >= DOMINANT_SHARE, "dominant").alias("band"),
+            F.when(F.col("value") >= DOMINANT_SHARE, "check_that_it_is_known_beforehand").alias("advice"),
         )
     )
 
 
-def _codes(spark: SparkSession, section: str, codes: list[str]) -> DataFrame:
-    return spark.createDataFrame(
-        [(section, str(i), code) for i, code in enumerate(codes, 1)],
-        "section string, item string, advice string",
-    ).select(
-        "section", "item", F.lit(None).cast("double").alias("value"),
-        F.lit(None).cast("string").alias("band"), "advice",
-    )
-
-
 def recommendations(metrics: DataFrame, importance: DataFrame | None, task_type: str) -> DataFrame:
-    """Improvement list for a weak model; always the top feature and a checklist."""
-    spark = metrics.sparkSession
-    name = "rsq" if task_type == REGRESSION else "accuracy"
-    codes = IMPROVE_REGRESSION if task_type == REGRESSION else IMPROVE_CLASSIFICATION
-    weak = metrics.filter((F.col("metric") == name) & (F.col("estimate") < IMPROVE_BELOW[name]))
-    table = F.array(
-        *[F.struct(F.lit(str(i)).alias("item"), F.lit(c).alias("advice")) for i, c in enumerate(codes, 1)]
-    )
-    out = weak.limit(1).select(F.inline(table)).select(
-        F.lit("improve").alias("section"), "item", F.lit(None).cast("double").alias("value"),
-        F.lit(None).cast("string").alias("band"), "advice",
-    )
-    if importance is not None:
-        top = importance.orderBy(F.desc("importance"), "variable").limit(1)
-        out = out.unionByName(
-            top.select(
-                F.lit("key_finding").alias("section"), F.col("variable").alias("item"),
-                F.col("importance").alias("value"), F.lit(None).cast("string").alias("band"),
-                F.lit("look_after_data_quality").alias("advice"),
+    """A remark for every measure that gives cause for one, and the strongest feature."""
+    rules = REMARKS["regression" if task_type == REGRESSION else "classification"]
+    names = sorted({m for m, *_ in rules} | ({"mae"} if task_type == REGRESSION else set()))
+    wide = _wide(metrics, names)
+    remarks = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("item"), F.col(m).alias("value"), F.lit(text).alias("advice"),
+                F.expr(test).alias("_holds"),
             )
-        )
-    return out.unionByName(_codes(spark, "before_use", BEFORE_USE))
+            for m, test, text in rules
+        ]
+    )
+    out = wide.select(F.inline(remarks)).filter("_holds").select(
+        F.lit("remark").alias("section"), "item", "value", F.lit(None).cast("string").alias("band"), "advice"
+    )
+    if importance is None:
+        return out
+    top = importance_findings(importance).filter("rank = 1")
+    return out.unionByName(top.select(F.lit("key_finding").alias("section"), "item", "value", "band", "advice"))
 
 
 def next_steps(metrics: DataFrame, engine: str, task_type: str) -> DataFrame:
-    """What to do next; an engine is suggested only if it is not the current one."""
-    if task_type == REGRESSION:
-        name = "rsq"
-        good = ["use_for_predictions", "validate_on_new_data", "document_assumptions"]
-        other = [
-            ("add_predictors", None), ("try_boosting", "xgboost"), ("check_nonlinearity", "ranger"),
-        ]
-    else:
-        name = "accuracy"
-        good = ["classifies_well", "weigh_error_costs", "test_with_stakeholders"]
-        other = [
-            ("try_ensembles", "xgboost"), ("rebalance_classes", None), ("study_errors", None),
-        ]
-    steps = [("good", i, step, None) for i, step in enumerate(good, 1)]
-    steps += [("improve", i, step, engine_) for i, (step, engine_) in enumerate(other, 1)]
+    """A good model goes to new rows; else other kinds of engines are worth a comparison.
+
+    One row per step: state, seq, step, suggested. The current engine is never suggested.
+    """
+    name = "rsq" if task_type == REGRESSION else "accuracy"
+    # one linear, one single tree, one ensemble: what does better tells what the model lacks
+    others = [e for e in ("glmnet", "rpart", "xgboost") if e != engine]
+    steps = [("good", 1, "score_new_rows", None)]
+    steps += [("improve", i, "compare_engine", e) for i, e in enumerate(others, 1)]
     table = metrics.sparkSession.createDataFrame(
         steps, "state string, seq int, step string, suggested string"
     )
     state = F.when(F.col(name) >= GOOD_FROM[name], "good").otherwise("improve")
     current = _wide(metrics, [name]).select(state.alias("state"))
-    return (
-        table.join(F.broadcast(current), "state", "left_semi")
-        .withColumn("suggested", F.when(F.col("suggested") != engine, F.col("suggested")))
-        .orderBy("seq")
-    )
+    return table.join(F.broadcast(current), "state", "left_semi").orderBy("seq")
 
 
 def traffic_light(value: Column, metric: str) -> Column:
@@ -330,7 +301,7 @@ def explain(result: TrainResult) -> DataFrame:
         parts += [classification_findings(metrics), pr_balance(metrics), f1_auc_bands(metrics)]
         baseline = baseline_classification(result.predictions, target)
     if result.importance is not None:
-        parts.append(importance_findings(result.importance, result.engine).drop("rank"))
+        parts.append(importance_findings(result.importance).drop("rank"))
     lift = baseline_lift(metrics, baseline, result.task_type)
     parts.append(_rows(lift, [("baseline", "lift", F.col("lift"), F.col("band"), None)]))
     if result.cv_metrics is not None:

@@ -17,7 +17,6 @@ ZIPPED_EXTENSIONS = ["xlsx", "xls"]
 GZIPPED_EXTENSIONS = ["rds", "rdata", "rda"]
 GZIP_MAGIC = "1F8B"
 ZIP_MAGIC = "504B"
-MAX_FILE_MB = 50
 
 # Name rules.
 NAME_PATTERN = "^[a-zA-Z][a-zA-Z0-9_]*$"
@@ -38,7 +37,7 @@ MIN_TRAINING_COLUMNS = 2
 def audit_files(
     spark: SparkSession,
     path: str,
-    max_mb: float = MAX_FILE_MB,
+    max_mb: float | None = None,
     allowed: Sequence[str] = tuple(ALLOWED_EXTENSIONS),
 ) -> DataFrame:
     """Verdict per file of a folder or glob: ok, too_large, bad_format, compressed, archive.
@@ -47,7 +46,7 @@ def audit_files(
     file are looked at, so a huge file is refused without being loaded.
     """
     listed = spark.read.format("binaryFile").load(path).withColumnRenamed("length", "bytes")
-    limit = int(max_mb * 1024 * 1024)
+    limit = (1 << 62) if max_mb is None else int(max_mb * 1024 * 1024)
     sizes = listed.select("path", "bytes", F.lit(None).cast("string").alias("magic"))
     heads = listed.filter(F.col("bytes") <= limit).select(
         "path", "bytes", F.hex(F.substring(F.col("content"), 1, 2)).alias("magic")
@@ -117,17 +116,14 @@ def audit_dimensions(
     max_cols: int | None = None,
     max_cells: int | None = None,
 ) -> DataFrame:
-    """``(limit, allowed, exceeded)`` per limit that is set; by default nothing is limited.
-
-    Counting stops one row past the tightest row limit.
-    """
+    """``(limit, allowed, exceeded)`` per limit that is set; by default nothing is limited."""
     cols = len(df.columns)
     row_caps = []
     if max_rows is not None:
         row_caps.append(max_rows)
     if max_cells is not None and cols:
         row_caps.append(max_cells // cols)
-    rows = df.limit(max(row_caps) + 1).count() if row_caps else 0
+    rows = df.count() if row_caps else 0
     checks = []
     if max_rows is not None:
         checks.append(("rows", max_rows, rows > max_rows))

@@ -90,11 +90,18 @@ def _read_whitespace(
     spark: SparkSession, path: str, schema: T.StructType | str | None
 ) -> DataFrame:
     """Blank-separated text: runs of blanks become one comma-free field separator."""
-    lines = spark.read.text(path)
-    header = lines.first().value
-    names = header.split()
+    names = spark.read.text(path).first().value.split()
     fields = F.split(F.trim("value"), r"\s+")
-    body = lines.filter((F.col("value") != header) & (F.trim("value") != "")).select(
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    # the first line of each file, by its place: a data row may look like it
+    first = lines.filter("_block = 0").groupBy("_file").agg(F.min("_line").alias("_line"))
+    rest = lines.join(first, ["_file", "_line"], "left_anti")
+    body = rest.filter(F.trim("value") != "").select(
         *[F.try_element_at(fields, F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
     )
     body = body.select(*[F.nullif(F.col(n), F.lit("NA")).alias(n) for n in names])

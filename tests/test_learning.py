@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mlscout.operators.neighbours import nearest_neighbours
 from mlscout.plans.estimators import GRIDS, make_estimator, tuning_grid
+from mlscout.operators.bayes import gaussian_nb, gaussian_nb_predict
 from mlscout.plans.findings import explain, next_steps, write_report
 from mlscout.plans.train import compare, load_model, permutation_importance, save_model, train
 from mlscout.plans.validate import validate
@@ -155,3 +156,12 @@ def test_neighbours_against_brute_force(spark, options):
     for r in nearest_neighbours(train_df, test_df, 4, **options).orderBy("rank").collect():
         found.setdefault(tuple(r.point), []).append(r.key)
     assert found == _brute(rows, [p for _, p in rows], 4)
+
+
+def test_naive_bayes_leaves_missing_features_out(spark):
+    rows = [("a", 0.0, 0.0), ("a", 1.0, 1.0), ("b", 10.0, 0.5), ("b", 11.0, float("nan")), ("b", 12.0, None)]
+    df = spark.createDataFrame(rows, "c string, x double, y double")
+    model = gaussian_nb(df, ["x", "y"], "c")
+    asked = spark.createDataFrame([(11.0, None), (0.5, float("nan")), (None, None)], "x double, y double")
+    got = [r.prediction for r in gaussian_nb_predict(asked, model, ["x", "y"]).collect()]
+    assert got == ["b", "a", "b"]

@@ -135,3 +135,9 @@ def test_scalars(spark):
     nums = spark.createDataFrame([(80.0,), (66.666,), (0.0,), (100.0,), (None,)], "x double")
     assert [r[0] for r in nums.select(number_text(F.col("x"), 1)).collect()] == ["80", "66.7", "0", "100", None]
     assert df.select(neutralise_formula(F.col("s"))).count() == 3
+
+
+def test_blank_separated_rows_equal_to_the_header_stay(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a b\n1 2\na b\n3 4\n")
+    rows = read_table(spark, str(tmp_path / "t.txt"), schema="a string, b string").collect()
+    assert sorted((r.a, r.b) for r in rows) == [("1", "2"), ("3", "4"), ("a", "b")]
