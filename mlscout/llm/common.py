@@ -22,11 +22,27 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffle files of a write once the table is there.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut in columnar form."""
-    folder = shared_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """Write ``df`` to the shared folder and read it back: a lineage cut in columnar form.
+
+    What comes after reads the table, so the shuffles behind it are not kept on the disks.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def apart(df: DataFrame, *names: str) -> DataFrame:

@@ -226,7 +226,7 @@ def _within(members: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """The pairs (a, b) that are linked; sizes first, then the sets themselves."""
-    n = sets.select(F.col("set_id"), F.size("shingles").alias("n"))
+    n = sets.select(F.col("set_id"), F.size("shingles").alias("n")).distinct()
     sized = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
     near = sized.filter(
         F.least("na", "nb").cast("long") * whole >= F.greatest("na", "nb").cast("long") * part
@@ -234,7 +234,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataF
     full = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb") - common
-    return full.filter(common * whole >= union * part).select("a", "b")
+    return full.filter(common * whole >= union * part).select("a", "b").distinct()
 
 
 def links(
@@ -254,7 +254,8 @@ def links(
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         chosen.select("doc_id").distinct(), "doc_id", "left_semi"
     )
-    sets = stored(shingle_sets(texts, size).dropDuplicates(["set_id"]), "shingles")
+    # rows with equal ids may repeat a set; the links and groups below are distinct anyway
+    sets = stored(shingle_sets(texts, size), "shingles")
     crowded = met.filter(F.col("n") > crowd).select("set_id").distinct()
     again = stored(_met(strong_signatures(sets.join(crowded, "set_id", "left_semi"), part, whole)), "met")
     large = again.filter(F.col("n") > crowd)
