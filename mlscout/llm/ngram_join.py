@@ -14,8 +14,10 @@ Signatures come in two strengths. Plain ones (k2 = 0) find the candidates; sets
 groups above ``CROWD`` (shared passages, large groups of copies) sign again with k2 = 2 on
 another cut of the domain, and only what meets again is a candidate. Groups up to ``CROWD``
 are compared in pairs, larger ones with their first set; linked sets are contracted, and only
-members of large groups that still differ are compared among each other. All candidates are
-verified on the sets, equal sets being collapsed before anything else.
+members of large groups that still differ are compared among each other. Equal sets are
+collapsed before anything else. Each set carries one parity bit per cell of about as many
+cells as it has features: two sets differ in at least as many features as their parities
+differ, which rules out most candidates without their texts. The rest is verified on the sets.
 
 Null and blank texts have the empty set, which links with nothing. Repeated rows and equal
 texts get the same component. Ties do not matter, as a component is named by its smallest id.
@@ -28,13 +30,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlscout.llm.common import byte_rows, hashed_words, mixed, over_batches, shingle_set, stored
 from mlscout.llm.components import components
 
 CROWD = 24
+CENTRES, ROUNDS = 6, 2  # what members of a large group meet before all that still differ do
 BAND_GROWTH = (3, 2)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -123,6 +126,14 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mixed(total * np.array([3, 5, 7], np.uint64))).astype(np.int64))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of a power of two of cells whether an odd number of features falls into it."""
+    cells = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    inside = (shingles & np.uint64(cells - 1)).astype(np.int64)
+    odd = (np.bincount(inside, minlength=cells) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _flat(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate(arrays) if arrays else np.zeros(0)
@@ -135,7 +146,7 @@ def _of_texts(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def set_ids(df: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, set_id, n_shingles) of every row."""
+    """(doc_id, set_id, n_shingles, parities) of every row."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(hashed_words(t), size) for t in byte_rows(batch.column(1))]
@@ -144,11 +155,12 @@ def set_ids(df: DataFrame, size: int = 5) -> DataFrame:
                 batch.column(0),
                 pa.array([fingerprint(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
+                _flat([parities(s) for s in sets], pa.int64()),
             ],
-            ["doc_id", "set_id", "n_shingles"],
+            ["doc_id", "set_id", "n_shingles", "parities"],
         )
 
-    return _of_texts(df, make, "doc_id long, set_id long, n_shingles long")
+    return _of_texts(df, make, "doc_id long, set_id long, n_shingles long, parities array<long>")
 
 
 def shingle_sets(df: DataFrame, size: int = 5) -> DataFrame:
@@ -224,13 +236,45 @@ def _within(members: DataFrame) -> DataFrame:
     return first.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """The pairs (a, b) that are linked; sizes first, then the sets themselves."""
-    n = sets.select(F.col("set_id"), F.size("shingles").alias("n")).distinct()
-    sized = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-    near = sized.filter(
-        F.least("na", "nb").cast("long") * whole >= F.greatest("na", "nb").cast("long") * part
-    ).select("a", "b")
+def _differing(x: Column, y: Column) -> Column:
+    """In how many cells two parities differ; that of more cells is folded onto the other."""
+    width = F.least(F.size(x), F.size(y))
+
+    def folded(p: Column) -> Column:
+        halves = F.zip_with(F.slice(p, F.lit(1), width), F.slice(p, width + 1, width), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(p) > width, halves).otherwise(p)
+
+    apart = F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long"))
+    return F.aggregate(apart, F.lit(0).cast("long"), lambda total, v: total + v)
+
+
+def _near(pairs: DataFrame, known: DataFrame, part: int, whole: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities do not rule out."""
+    rows = known.select("set_id", "n_shingles", "parities")
+    sized = pairs.join(rows.toDF("a", "na", "pa"), "a").join(rows.toDF("b", "nb", "pb"), "b")
+    # sizes this close have at most twice the cells of each other
+    near = sized.filter(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part)
+    most = (F.col("na") + F.col("nb")) * (whole - part)
+    return near.filter(_differing(F.col("pa"), F.col("pb")) * (whole + part) <= most).select("a", "b")
+
+
+def _sets_of(df: DataFrame, known: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(set_id, shingles) of the wanted sets, from the text of one document each.
+
+    Rows with equal ids may repeat a set or add one; what is made of the sets is distinct.
+    """
+    chosen = known.join(wanted, "set_id", "left_semi").select("doc_id")
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return shingle_sets(texts.join(chosen, "doc_id", "left_semi"), size)
+
+
+def _verified(
+    pairs: DataFrame, df: DataFrame, known: DataFrame, part: int, whole: int, size: int
+) -> DataFrame:
+    """The pairs (a, b) that are linked: sizes and parities first, then the sets themselves."""
+    near = stored(_near(pairs, known, part, whole), "near")
+    wanted = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
+    sets = stored(_sets_of(df, known, wanted, size), "shingles")
     full = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb") - common
@@ -247,17 +291,13 @@ def links(
     """
     part, whole = similarity
     members = stored(set_ids(df, size), "sets")
-    met = stored(_met(plain_signatures(df, part, whole, size)), "met")
-    # one document stands for each set that met another: only their texts travel
-    wanted = met.select("set_id").distinct()
-    chosen = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        chosen.select("doc_id").distinct(), "doc_id", "left_semi"
+    # one document stands for each set; only texts of candidates travel
+    known = members.filter("n_shingles > 0").groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("parities").alias("parities")
     )
-    # rows with equal ids may repeat a set; the links and groups below are distinct anyway
-    sets = stored(shingle_sets(texts, size), "shingles")
+    met = stored(_met(plain_signatures(df, part, whole, size)), "met")
     crowded = met.filter(F.col("n") > crowd).select("set_id").distinct()
-    again = stored(_met(strong_signatures(sets.join(crowded, "set_id", "left_semi"), part, whole)), "met")
+    again = stored(_met(strong_signatures(_sets_of(df, known, crowded, size), part, whole)), "met")
     large = again.filter(F.col("n") > crowd)
     first = large.withColumn("a", F.min("set_id").over(Window.partitionBy("signature")))
     stars = first.filter("a <> set_id").select("a", F.col("set_id").alias("b"))
@@ -267,25 +307,50 @@ def links(
         .unionByName(stars)
         .distinct()
     )
-    found = stored(_verified(pairs, sets, part, whole), "links")
+    found = stored(_verified(pairs, df, known, part, whole, size), "links")
     if large.isEmpty():
         return members, found
-    # large groups whose members are not yet all connected
-    label = components(found).toDF("set_id", "component")
-    labelled = large.join(label, "set_id", "left").select(
-        "signature", "set_id", F.coalesce("component", "set_id").alias("c")
+    large = stored(
+        large.join(known.select("set_id", "n_shingles"), "set_id").drop("n"), "large"
     )
-    split = labelled.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    open_ = stored(labelled.join(split.filter("low <> high"), "signature"), "open")
+    # members of large groups not yet connected meet a few others, then all that still differ
+    for seed in range(ROUNDS):
+        open_ = _open(large, found)
+        pairs = _with_centres(open_, seed)
+        found = stored(found.unionByName(_verified(pairs, df, known, part, whole, size)).distinct(), "links")
+    open_ = _open(large, found)
     most = open_.groupBy("signature", "c").count()
     main = most.groupBy("signature").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
     outside = open_.join(main, "signature").filter("c <> main").select(
-        "signature", F.col("set_id").alias("x"), F.col("c").alias("cx")
+        "signature", F.col("set_id").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx")
     )
-    others = open_.select("signature", F.col("set_id").alias("y"), F.col("c").alias("cy"))
-    rest = outside.join(others, "signature").filter("cx <> cy")
+    others = open_.select(
+        F.col("signature").alias("s"), F.col("set_id").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny")
+    )
+    fit = F.least("nx", "ny") * whole >= F.greatest("nx", "ny") * part
+    rest = outside.join(others, (F.col("signature") == F.col("s")) & (F.col("cx") != F.col("cy")) & fit)
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return members, found.unionByName(stored(_verified(rest, sets, part, whole), "links"))
+    return members, found.unionByName(stored(_verified(rest, df, known, part, whole, size), "links"))
+
+
+def _open(large: DataFrame, found: DataFrame) -> DataFrame:
+    """The large groups that the links found leave in several components ``c``."""
+    label = components(found).toDF("set_id", "component")
+    labelled = large.join(label, "set_id", "left").select(
+        "signature", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("c")
+    )
+    split = labelled.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return stored(labelled.join(split.filter("low <> high").select("signature"), "signature"), "open")
+
+
+def _with_centres(open_: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of every member of a group with a few members of other components."""
+    place = F.row_number().over(Window.partitionBy("signature").orderBy(F.xxhash64("set_id", F.lit(seed)), "set_id"))
+    centres = open_.withColumn("place", place).filter(F.col("place") <= CENTRES).select(
+        "signature", F.col("set_id").alias("x"), F.col("c").alias("cx")
+    )
+    met = open_.join(centres, "signature").filter("c <> cx")
+    return met.select(F.least("set_id", "x").alias("a"), F.greatest("set_id", "x").alias("b")).distinct()
 
 
 def near_duplicates(
