@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from mlscout.llm.common import Memo, byte_rows, file_system, shared_folder, stored
 
 SEQUENCE = 2048
+WORDS = 1_000_000  # that a Python worker remembers, in some 150 MB
 SEQUENCES_PER_BATCH = 256
 DOCS_PER_BATCH = 4096
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -45,7 +46,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.word = Memo(self._ids, 300_000)
+        self.word = Memo(self._ids, WORDS)
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -59,15 +60,14 @@ class WordTokenizer:
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()  # at the six ASCII blanks; other white space stays inside
-        new = list(dict.fromkeys(w for w in words if w not in self.word and w not in self.word.older))
+        known = self.word
+        new = [w for w in set(words) if w not in known and w not in known.older]
         if len(new) > 8:
-            found = self.tokenizer.encode_batch(
+            found = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
             )
-            made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-            self.word.remember(made)
-            return b"".join(made[w] if w in made else self.word[w] for w in words)
-        return b"".join(map(self.word.__getitem__, words))
+            known.remember({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)})
+        return b"".join(map(known.__getitem__, words))
 
 
 def sequence_schema(length: int) -> pa.Schema:
