@@ -8,12 +8,11 @@ Catalyst fuses into one stage, and it can be stored as JSON.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +30,7 @@ from mlscout.kinds import (
     missing,
     present_double,
 )
+from mlscout.operators.profile import profile_correlations
 
 MAX_LEVELS = 1000  # levels of one column that may become parameters
 OTHER_LEVEL = "OTHER"
@@ -496,12 +496,16 @@ class DropCorrelated(DropColumns):
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
-    """Pearson matrix over complete rows; p x p numbers reach the driver."""
-    complete = df.select(*[present_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(
-        inputCols=complete.columns, outputCol="features", handleInvalid="skip"
-    ).transform(complete)
-    return Correlation.corr(vectors.select("features"), "features").first()[0].toArray().tolist()
+    """Pearson matrix, each pair over the rows where both are finite; p x p numbers reach the driver.
+
+    A pair with a constant side, or never present together, has NaN.
+    """
+    values = df.select(*[present_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    matrix = [[1.0 if i == j else math.nan for j in range(len(columns))] for i in range(len(columns))]
+    for row in profile_correlations(values).collect():
+        i, j = int(row["column_a"][1:]), int(row["column_b"][1:])
+        matrix[i][j] = matrix[j][i] = math.nan if row["r"] is None else row["r"]
+    return matrix
 
 
 def correlated_columns(

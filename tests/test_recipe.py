@@ -1,9 +1,12 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mlscout.operators.recipe import (
     AsNumber, DropCorrelated, DropNearZeroVariance, Dummy, FittedRecipe, ImputeMedian, IntegerEncode,
-    MinMax, NovelLevel, PoolRare, Recipe, Standardize, correlated_columns, default_recipe,
+    MinMax, NovelLevel, PoolRare, Recipe, Standardize, correlated_columns, correlation_matrix, default_recipe,
     recipe_from_options,
 )
 
@@ -138,3 +141,16 @@ def _context():
     from mlscout.operators.recipe import Context
 
     return Context([])
+
+
+def test_correlations_use_the_rows_of_each_pair(spark):
+    """A column without values, or with gaps, leaves the other pairs alone."""
+    rows = spark.createDataFrame(
+        [(1.0, 2.0, None, None), (2.0, 4.0, 3.0, None), (3.0, 6.0, 1.0, None), (4.0, 9.0, 2.0, None)],
+        "a double, b double, c double, d double",
+    )
+    found = correlation_matrix(rows, ["a", "b", "c", "d"])
+    assert found[0][1] == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 4, 6, 9])[0, 1])
+    assert found[0][2] == found[2][0] == pytest.approx(np.corrcoef([2, 3, 4], [3, 1, 2])[0, 1])
+    assert all(math.isnan(found[i][3]) for i in range(3))
+    assert DropCorrelated().fit(rows, _context())["columns"] in (["a"], ["b"])
