@@ -436,3 +436,19 @@ def test_neighbours_edges(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(vectors, vectors.filter("vec_id IN (0, 9)"), 2).collect())
     assert got == [(0, 1, 1), (0, 2, 2)]
     assert neighbours.search(vectors.filter("vec_id < 0"), vectors.filter("vec_id < 0")).count() == 0
+
+
+def test_parities_never_exceed_the_differences():
+    """Folded onto the smaller, parities differ in at most as many cells as the sets differ."""
+    rng = np.random.default_rng(5)
+    for n, lost, added in [(1, 0, 0), (64, 3, 9), (65, 2, 0), (1000, 90, 120), (1020, 0, 40)]:
+        pool = np.unique(rng.integers(0, 1 << 63, n + added, dtype=np.uint64))
+        a, b = pool[:n], pool[lost:]
+        p, q = ngram_join.parities(a), ngram_join.parities(b)
+        while len(p) != len(q):
+            long = max(p, q, key=len)
+            half = long[: len(long) // 2] ^ long[len(long) // 2 :]
+            p, q = (half, q) if long is p else (p, half)
+        apart = np.unpackbits((p ^ q).view(np.uint8)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+        assert (apart - len(np.setxor1d(a, b))) % 2 == 0
