@@ -449,6 +449,6 @@ def test_parities_never_exceed_the_differences():
             long = max(p, q, key=len)
             half = long[: len(long) // 2] ^ long[len(long) // 2 :]
             p, q = (half, q) if long is p else (p, half)
-        apart = np.unpackbits((p ^ q).view(np.uint8)).sum()
+        apart = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
         assert apart <= len(np.setxor1d(a, b))
         assert (apart - len(np.setxor1d(a, b))) % 2 == 0
