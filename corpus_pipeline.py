@@ -23,10 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    classes = ngram_join.near_duplicates(docs).filter(F.col("component_id") != F.col("doc_id"))
-    gone = stored(classes.select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates one document, with the smallest id, stays."""
+    return ngram_join.without_near_duplicates(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +35,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, or left out, as the mix of sources takes them."""
-    plan = stored(mixing.mix(docs).select("doc_id", "copies").filter("copies > 0"), "taken")
-    joined = docs.join(plan, "doc_id")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mixing.mix(docs.select("doc_id", "source", "text", whole.alias("_row")), carry=["_row"])
+    # each row carries itself, so neither null nor repeated ids can lose or multiply it
+    return taken.filter("copies > 0").select(F.explode(F.array_repeat("_row", F.col("copies")))).select("col.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

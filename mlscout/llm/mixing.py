@@ -144,6 +144,8 @@ def mix(
     if not keep:
         slim = stored(slim, "mix")  # counted once, read by every pass
     narrow = slim.select("source", "size", "_hash")
+    if keep:
+        narrow = stored(narrow, "mix")
     plan = targets(
         narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs
     )
@@ -158,7 +160,8 @@ def mix(
     plan = plan.join(bounds, plan["source"].eqNullSafe(bounds["_source"]), "left").select(
         plan["source"].alias("_source"), "source_size", "target", "epochs", "bound"
     )
-    joined = slim.join(plan, slim["source"].eqNullSafe(plan["_source"]))
+    # what is carried may be whole texts: they stay where they are
+    joined = slim.join(F.broadcast(plan) if keep else plan, slim["source"].eqNullSafe(plan["_source"]))
     copies = F.col("epochs") + F.coalesce((F.col("_hash") < F.col("bound")).cast("int"), F.lit(0))
     return joined.withColumn("copies", copies).select(
         "doc_id",

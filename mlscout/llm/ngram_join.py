@@ -140,27 +140,38 @@ def _flat(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def text_hash() -> Column:
+    """With the id, null or not, it tells apart all rows that differ in id or text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _of_texts(df: DataFrame, make, schema: str) -> DataFrame:
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = df.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        text_hash().alias("text_hash"),
+    )
     return rows.mapInArrow(over_batches(make), schema)
 
 
 def set_ids(df: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, set_id, n_shingles, parities) of every row."""
+    """(doc_id, text_hash, set_id, n_shingles, parities) of every row."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(hashed_words(t), size) for t in byte_rows(batch.column(1))]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array([fingerprint(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 _flat([parities(s) for s in sets], pa.int64()),
             ],
-            ["doc_id", "set_id", "n_shingles", "parities"],
+            ["doc_id", "text_hash", "set_id", "n_shingles", "parities"],
         )
 
-    return _of_texts(df, make, "doc_id long, set_id long, n_shingles long, parities array<long>")
+    kinds = "doc_id long, text_hash long, set_id long, n_shingles long, parities array<long>"
+    return _of_texts(df, make, kinds)
 
 
 def shingle_sets(df: DataFrame, size: int = 5) -> DataFrame:
@@ -284,7 +295,7 @@ def _verified(
 def links(
     df: DataFrame, *, similarity: tuple[int, int] = (80, 100), size: int = 5, crowd: int = CROWD
 ) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, set_id, n_shingles) and links (a, b) between sets.
+    """Membership (doc_id, text_hash, set_id, n_shingles) and links (a, b) between sets.
 
     The links connect exactly the sets that the full join connects; in groups above ``crowd``
     not every link is listed.
@@ -368,3 +379,39 @@ def near_duplicates(
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def without_near_duplicates(df: DataFrame, **options) -> DataFrame:
+    """One row of each group of near duplicates: the smallest id, null ids last.
+
+    Rows are told apart by id and text hash, so rows that only share an id, null ids too, are
+    judged by their own texts. Of rows with that id and one text, one stays. Blank rows all stay.
+    """
+    members, found = links(df, **options)
+    label = components(found).toDF("set_id", "component")
+    filled = members.filter("n_shingles > 0").groupBy("set_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    named = stored(
+        filled.join(label, "set_id", "left").select(
+            F.coalesce("component", "set_id").alias("component"), place.alias("place"), "n"
+        ),
+        "named",
+    )
+    first = named.groupBy("component").agg(F.min("place").alias("first"))
+    judged = named.join(first, "component").select(
+        F.col("place.doc_id").alias("_id"),
+        F.col("place.text_hash").alias("_text"),
+        (F.col("place") == F.col("first")).alias("stays"),
+        "n",
+    )
+    judged = stored(judged.filter("NOT stays OR n > 1"), "gone")
+    rows = df.withColumn("_hash", text_hash())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    kept = rows.join(judged, same, "left_anti").select(own)
+    again = judged.filter("stays")
+    if again.isEmpty():
+        return kept
+    # the smallest of equal rows is an aggregate, so they need not meet in one task
+    one = rows.join(again, same, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct(own)).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
