@@ -269,14 +269,26 @@ def _near(pairs: DataFrame, known: DataFrame, part: int, whole: int) -> DataFram
     return near.filter(_differing(F.col("pa"), F.col("pb")) * (whole + part) <= most).select("a", "b")
 
 
+def _row_key(text_hash: Column) -> Column:
+    """Never null: the id, or the text hash of a row without one."""
+    return F.coalesce(F.col("doc_id").cast("long"), text_hash)
+
+
 def _sets_of(df: DataFrame, known: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, shingles) of the wanted sets, from the text of one document each.
+    """(set_id, shingles) of the wanted sets, from the text of one row key each.
 
-    Rows with equal ids may repeat a set or add one; what is made of the sets is distinct.
+    Rows with equal keys may add a set or repeat one; where there are any, each set is kept once.
     """
-    chosen = known.join(wanted, "set_id", "left_semi").select("doc_id")
-    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return shingle_sets(texts.join(chosen, "doc_id", "left_semi"), size)
+    chosen = known.join(wanted, "set_id", "left_semi").select(F.col("key").alias("_key"), "repeated")
+    texts = df.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        _row_key(text_hash()).alias("_key"),
+    )
+    sets = shingle_sets(texts.join(chosen.select("_key"), "_key", "left_semi"), size)
+    if chosen.filter("repeated").isEmpty():
+        return sets
+    return sets.dropDuplicates(["set_id"])
 
 
 def _verified(
@@ -302,10 +314,17 @@ def links(
     """
     part, whole = similarity
     members = stored(set_ids(df, size), "sets")
-    # one document stands for each set; only texts of candidates travel
-    known = members.filter("n_shingles > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("parities").alias("parities")
+    # one row key stands for each set; only texts of candidates travel
+    keyed = members.filter("n_shingles > 0").withColumn("key", _row_key(F.col("text_hash")))
+    known = keyed.groupBy("set_id").agg(
+        F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("parities").alias("parities")
     )
+    several = keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
+    if several.isEmpty():
+        known = known.withColumn("repeated", F.lit(False))
+    else:
+        several = stored(several.withColumn("repeated", F.lit(True)), "repeated")
+        known = known.join(several, "key", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
     met = stored(_met(plain_signatures(df, part, whole, size)), "met")
     crowded = met.filter(F.col("n") > crowd).select("set_id").distinct()
     again = stored(_met(strong_signatures(_sets_of(df, known, crowded, size), part, whole)), "met")

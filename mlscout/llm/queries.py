@@ -36,9 +36,9 @@ def op3_bm25_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_resharding(spark: SparkSession, folder: str) -> DataFrame:
-    """The old layout deals ids to 16 shards by checksum; the new one has 24 of equal bytes."""
+    """The old layout deals ids to 16 shards by checksum, a null id as an empty one; the new one has 24 of equal bytes."""
     docs = table(spark, folder, "documents")
-    old = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(OLD_SHARDS))
+    old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(OLD_SHARDS))
     files = resharding.rewritten(docs, old, SHARDS)
     return files.select(
         "doc_id",

@@ -8,7 +8,7 @@ its size does not depend on the rows. Within an old shard rows are laid out by a
 of their sizes, large rows first, and cut where the flow says: what stays comes first, then
 the blocks for each receiving shard. Cuts then fall between small rows.
 
-Null texts weigh the fixed overhead alone; repeated rows are rows of their own; an empty
+A row without an old shard is refused. Null texts weigh the fixed overhead alone; repeated rows are rows of their own; an empty
 table gives no rows.
 """
 
@@ -111,6 +111,8 @@ def reshard(
     # one row per old shard and range, however many rows there are
     ranges = rows.groupBy("old_shard", "_range").agg(F.sum("size").alias("_bytes"))
     sizes = {r[0]: r[1] for r in ranges.groupBy("old_shard").agg(F.sum("_bytes")).collect()}
+    if None in sizes:
+        raise ValueError("every row needs an old shard, but there are rows with none")
     if isinstance(capacities, int):
         capacities = even_capacities(sum(sizes.values()), capacities)
     cuts, begin = [], {}

@@ -15,8 +15,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mlscout.llm import archives, bpe, components, mixing, neighbours, ngram_join, repeats, resharding
+from mlscout.llm import archives, bpe, components, mixing, neighbours, ngram_join, queries, repeats, resharding
 from mlscout.llm import token_files, topk, toxicity
+from tests.llm.conftest import sentence
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -137,6 +138,23 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100}
 
 
+def test_null_ids_are_linked_and_bridge(spark):
+    words = sentence(40, 100).split()
+    def near(a, b):
+        return " ".join([*(f"a{i}" for i in range(a)), *words[a : len(words) - b], *(f"b{i}" for i in range(b))])
+    # 1 and 2 are linked only by way of a row without an id; two more such rows have each other
+    rows = [(1, near(8, 0)), (None, near(0, 0)), (2, near(0, 8))]
+    rows += [(None, sentence(41, 80)), (None, sentence(41, 80) + " end")]
+    rows += [(None, near(0, 0))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (24, 2):
+        got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs, crowd=crowd).collect()), key=str)
+        assert got == brute_components(rows)
+        assert {r[2] for r in got if r[0]} == {1}
+        links = ngram_join.links(docs, crowd=crowd)[1].count()
+        assert links == 3  # the two through the bridge, and that of the null ids
+
+
 # 3 top-k search
 
 
@@ -197,6 +215,15 @@ def test_reshard_rows_once_and_evenly(spark, data, edge_docs, no_docs):
     assert resharding.rewritten(no_docs, F.lit(0), 3).count() == 0
 
 
+def test_reshard_query_takes_null_ids(spark, edge_docs, edge_rows, tmp_path):
+    edge_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op4_resharding(spark, str(tmp_path)).collect()
+    expected = Counter((r[0], zlib.crc32((r[1] or "").encode())) for r in edge_rows)
+    assert Counter((r.doc_id, r.text_crc32) for r in rows) == expected
+    with pytest.raises(ValueError, match="old shard"):
+        resharding.reshard(edge_docs, F.col("doc_id") % 5, 3)
+
+
 def test_rewrite_touches_affected_shards_only(spark, edge_docs, tmp_path):
     docs = edge_docs.select("doc_id", "text", "lang").filter("doc_id <> 8")
     placed = resharding.reshard(docs, F.when(F.col("doc_id") < 5, 0).otherwise(1), 3)
