@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import exp, log, log1p
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -201,46 +200,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
 
 
 def _stem_counts(rows: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): in how many rows a word begins with the stem.
-
-    Toxic rows count by the words around the stem, so that the words of one text that was
-    copied many times do not pass for a common mark of toxic texts.
-    """
-
-    def stems_of(raw: bytes) -> dict[str, int]:
-        words = [w.strip(EDGES) for w in raw.decode("utf-8", "replace").lower().split()]
-        found: dict[str, int] = {}
-        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-            for n in range(STEM[0], min(STEM[1], len(word)) + 1):
-                if word[:n] not in found:
-                    found[word[:n]] = crc32(f"{before} {after}".encode())
-        return found
+    """(stem, toxic, clean): in how many of the rows a word begins with the stem."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 50):
-                some = batch.slice(at, 50)
-                clean, toxic = Counter(), []
-                for raw, label in zip(byte_rows(some.column(0)), some.column(1).to_pylist()):
-                    if label:
-                        toxic += stems_of(raw).items()
-                    else:
-                        clean.update(stems_of(raw).keys())
-                stems = [s for s, _ in toxic] + list(clean)
-                around = [c for _, c in toxic] + [None] * len(clean)
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                counts = (Counter(), Counter())
+                for raw, toxic in zip(byte_rows(some.column(0)), some.column(1).to_pylist()):
+                    words = {w.strip(EDGES) for w in raw.decode("utf-8", "replace").lower().split()}
+                    counts[toxic].update(
+                        {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)}
+                    )
+                stems = list(counts[0].keys() | counts[1].keys())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(stems, pa.string()),
-                        pa.array(around, pa.int64()),
-                        pa.array([0] * len(toxic) + list(clean.values()), pa.int64()),
-                    ],
-                    ["stem", "around", "clean"],
+                    [pa.array(stems, pa.string()), *[pa.array([c[s] for s in stems], pa.int64()) for c in counts[::-1]]],
+                    ["stem", "toxic", "clean"],
                 )
 
-    parts = rows.mapInArrow(count, "stem string, around long, clean long")
-    return parts.groupBy("stem").agg(
-        F.count_distinct("around").alias("toxic"), F.sum("clean").alias("clean")
-    )
+    parts = rows.mapInArrow(count, "stem string, toxic long, clean long")
+    return parts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def choose_stems(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -287,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> ToxicityMo
     The driver receives the candidate stems (filtered to those rows of one class dominate)
     and one short feature row per fitted text: both bounded by ``limit``.
     """
-    rows = training_rows(docs, labels, limit).persist()
+    # both classes are taken over distinct texts: a text says no more for being copied
+    rows = training_rows(docs, labels, limit).distinct().persist()
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:

@@ -350,6 +350,23 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert toxicity.scored(no_docs, toxicity.fit(no_docs, labels)).count() == 0
 
 
+@pytest.mark.parametrize("fixed", [False, True])
+def test_copies_and_fixed_phrases_do_not_hide_a_slur(spark, fixed):
+    rows = [(i, sentence(i, 40), 0) for i in range(300)]
+    for i in range(300, 400):
+        words = sentence(i, 40).split()
+        at = 20 if fixed else i % 37
+        words[at : at + 1] = ["away", "grubling", "now"] if fixed else ["grubling"]
+        rows.append((i, " ".join(words), 1))
+    if not fixed:  # one clean text that quotes the word, copied
+        rows += [(i, "a page on the old word grubling and where it came from", 0) for i in range(400, 600)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(known.drop("toxic"), known.drop("text"))
+    assert any("grubling".startswith(s) for s in model.stems), model.stems
+    found = toxicity.scored(known, model).join(known, "doc_id").filter("toxic = 1 AND held_out")
+    assert found.count() == found.filter("predicted = 1").count() > 0
+
+
 # 8 repeats
 
 
