@@ -4,7 +4,8 @@ The lexicon holds word stems that labelled toxic rows use and clean rows do not.
 a word of a text is turned into a Levenshtein automaton (bit vectors of the positions reached
 with 0, 1, ... edits) that walks the trie, so all stems within the edit distance are found in
 one walk and hopeless branches end at once. Around every match a window of words tells
-quotation (quote marks, verbs of saying) from direct abuse (words of address), and a logistic
+quotation (quote marks that open before and close after it) from direct abuse (words of
+address). A quotation counts for less, for still less beside a verb of saying, and a logistic
 model of what was matched gives the score. A text without matches scores by the intercept.
 
 Only the text is looked at. Null and empty texts score as texts without matches. Labels that
@@ -32,6 +33,8 @@ STEM = (4, 12)  # characters of a stem
 FUZZY_FROM = 5  # stems of at least so many characters may be misspelled
 EDITS = 1
 WINDOW = 4
+QUOTED_WITHIN = 12  # words before and after a match in which its quote marks must be
+CITED, REPORTED = 0.5, 0.25  # what a match in quote marks counts, alone and beside a verb of saying
 PREFIX = 4  # characters that decide whether a word is worth a walk
 WORDS = 150_000  # words remembered
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*_-"
@@ -43,6 +46,44 @@ ADDRESS = frozenset("you your you're youre du dich dir ihr tu toi vous usted tú
 N_FEATURES = 7
 
 
+def _marked(edge: str) -> bool:
+    return any(q in edge for q in QUOTES)
+
+
+def in_quotes(raw: list[str], i: int) -> bool:
+    """Whether a quote mark opens before the word and one closes after it, both nearby.
+
+    A mark opens where it stands before a word and closes where it stands after one, so an inch
+    sign opens nothing. A mark on its own does what is looked for.
+    """
+
+    def edges(word: str) -> tuple[bool, bool]:
+        core = word.strip(EDGES)
+        if not core:
+            return _marked(word), _marked(word)
+        begin = word.index(core)
+        return _marked(word[:begin]), _marked(word[begin + len(core) :])
+
+    opens, closes = edges(raw[i])
+    for j in range(i - 1, max(-1, i - 1 - QUOTED_WITHIN), -1):
+        if opens:
+            break
+        begins, ends = edges(raw[j])
+        if ends and not (begins and not raw[j].strip(EDGES)):
+            return False  # closed before the word
+        opens = begins
+    if not opens:
+        return False
+    for j in range(i + 1, min(len(raw), i + 1 + QUOTED_WITHIN)):
+        if closes:
+            break
+        begins, ends = edges(raw[j])
+        if begins and not (ends and not raw[j].strip(EDGES)):
+            return False  # another one opens first
+        closes = ends
+    return closes
+
+
 class Lexicon:
     """A trie of stems with weights, and the automaton that walks it."""
 
@@ -125,27 +166,25 @@ class Lexicon:
             return [0.0] * N_FEATURES
         hits = [i for i, x in enumerate(found) if x]
         exact = fuzzy = quoted = addressed = 0
-        strongest, open_marks, last = 0.0, 0, 0
-        stems = set()
+        strongest = 0.0
+        stems: dict[str, float] = {}
         for i in hits:
-            open_marks += sum(w.count(q) for w in raw[last:i] for q in QUOTES if q in w)
-            last = i
-            near = raw[max(0, i - WINDOW) : i + WINDOW + 1]
-            here = sum(raw[i].count(q) for q in QUOTES)
-            cited = open_marks % 2 == 1 or here >= 2 or any(x.strip(EDGES) in SAYING for x in near)
+            near = [x.strip(EDGES) for x in raw[max(0, i - WINDOW) : i + WINDOW + 1]]
             weight, edits = found[i]
-            if cited:
+            share = 1.0
+            if in_quotes(raw, i):
                 quoted += 1
-                continue
-            exact += edits == 0
-            fuzzy += edits > 0
-            addressed += any(x.strip(EDGES) in ADDRESS for x in near)
-            strongest = max(strongest, weight if edits == 0 else weight / 2)
-            stems.add(raw[i].strip(EDGES))
+                share = REPORTED if any(x in SAYING for x in near) else CITED
+            exact += share * (edits == 0)
+            fuzzy += share * (edits > 0)
+            addressed += share * any(x in ADDRESS for x in near)
+            strongest = max(strongest, share * (weight if edits == 0 else weight / 2))
+            stem = raw[i].strip(EDGES)
+            stems[stem] = max(share, stems.get(stem, 0.0))
         density = (exact + fuzzy) / (len(raw) + 20)
         return [
             strongest, log1p(exact), log1p(fuzzy), log1p(quoted), log1p(addressed),
-            log1p(len(stems)), log1p(100 * density),
+            log1p(sum(stems.values())), log1p(100 * density),
         ]
 
 

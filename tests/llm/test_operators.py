@@ -350,6 +350,19 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert toxicity.scored(no_docs, toxicity.fit(no_docs, labels)).count() == 0
 
 
+def test_only_marks_on_both_sides_quote():
+    lexicon = toxicity.Lexicon({"idiot": 3.0})
+    direct, far = lexicon.features("you are an idiot"), "calm word " * 20
+    for text in ('a 5" pipe, you are an idiot', 'he said you are an idiot', '"never closed: you are an idiot',
+                 '"so" you are an idiot and "so"', 'you are an idiot"', f'"once {far} you are an idiot'):
+        found = lexicon.features(text)
+        assert found[:4] == direct[:4] and found[4] == direct[4], text
+    for text in ('the word "idiot" here', '„you big idiot“ it reads', 'a sign « such an idiot » hung there', '("idiot")'):
+        found = lexicon.features(text)
+        assert found[3] > 0 and 0 < found[0] < 3 and 0 < found[1] < direct[1] and 0 < found[6], text
+    assert lexicon.features('he said "idiot" once')[0] < lexicon.features('the word "idiot" once')[0]
+
+
 @pytest.mark.parametrize("fixed", [False, True])
 def test_copies_and_fixed_phrases_do_not_hide_a_slur(spark, fixed):
     rows = [(i, sentence(i, 40), 0) for i in range(300)]
