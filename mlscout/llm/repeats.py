@@ -451,7 +451,12 @@ def _removed(rows: DataFrame, spans: DataFrame, keep: bool) -> DataFrame:
                         parts.append(text[last:begin])
                         last = end
                     kept = b"".join([*parts, text[last:]])
-                    row = (len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep else None)
+                    digest = hashlib.sha256(kept).hexdigest()
+                    removed = len(text) - len(kept)
+                    if removed and keep:
+                        # a cut through a character leaves bytes that are none; they are dropped
+                        kept = kept.decode("utf-8", "ignore").encode()
+                    row = (len(text), removed, len(gone), digest, kept if keep else None)
                     for column, value in zip(out, row):
                         column.append(value)
                 kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
@@ -480,7 +485,4 @@ def without_repeats(docs: DataFrame, **options: int) -> DataFrame:
     """The documents with repeated passages cut out of ``text``; every other column stays."""
     rows = _numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
     made = _removed(rows, repeated_spans(rows.drop("others"), **options), True)
-    # a cut through a character leaves bytes that are none; they are dropped
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))
-    return made.withColumn("text", text).select("others.*", "text").select(docs.columns)
+    return made.withColumn("text", F.col("kept").cast("string")).select("others.*", "text").select(docs.columns)

@@ -422,6 +422,15 @@ def test_repeats_keep_columns_and_other_texts(edge_docs):
     assert texts[1] == "" and texts[6] == texts[7] == "word" and texts[3] in (None, "")
 
 
+def test_replacement_marks_of_the_input_stay(spark):
+    passage = sentence(9, 40)
+    rows = [(1, passage), (2, "clean \ufffd rest" + passage), (3, "é" + sentence(5, 40)), (4, "\ufffd Щ" + sentence(5, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in repeats.without_repeats(docs).collect()}
+    # the last byte of the two letters is the same, so a cut leaves the first of the second
+    assert texts == {1: passage, 2: "clean \ufffd rest", 3: rows[2][1], 4: "\ufffd "}
+
+
 def test_merged_transforms_equal_windows():
     rng = np.random.default_rng(3)
     for _ in range(12):
