@@ -153,8 +153,8 @@ def f1_auc_bands(metrics: DataFrame) -> DataFrame:
 
 
 def importance_findings(importance: DataFrame) -> DataFrame:
-    """Top features with their share of the listed importance, in percent (1 dp)."""
-    # at most IMPORTANCE_ROWS rows
+    """Top features with their share of the importance of all features, in percent (1 dp)."""
+    # one row per feature of a model
     all_rows = Window.partitionBy(F.lit(0))
     total = F.sum("importance").over(all_rows)
     place = F.row_number().over(all_rows.orderBy(F.desc("importance"), "variable"))

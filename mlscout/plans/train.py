@@ -39,7 +39,6 @@ TRAIN_GRID = 10
 COMPARE_GRID = 5
 COMPARE_ENGINES = ["glmnet", "ranger", "xgboost"]
 MAX_CLASSES = 1000
-IMPORTANCE_ROWS = 20
 PARALLEL_FITS = 4
 ROWS_PER_TASK = 25_000
 PARALLEL_FOLD_ROWS = 50_000_000
@@ -386,8 +385,9 @@ def train(
         raise
 
 
-def importance(spark: SparkSession, model: FittedModel, k: int = IMPORTANCE_ROWS) -> DataFrame | None:
-    """Native importance, largest first: impurity of trees, |coefficient| of linear learners."""
+def importance(spark: SparkSession, model: FittedModel) -> DataFrame | None:
+    """Native importance of all features that have any, largest first: impurity of trees,
+    |coefficient| of linear learners."""
     learner = model.learner
     if isinstance(learner, PipelineModel):
         return None
@@ -407,7 +407,7 @@ def importance(spark: SparkSession, model: FittedModel, k: int = IMPORTANCE_ROWS
     rows = sorted(
         ((n, float(s)) for n, s in zip(names, scores) if s > 0), key=lambda r: (-r[1], r[0])
     )
-    return spark.createDataFrame(rows[:k], "variable string, importance double")
+    return spark.createDataFrame(rows, "variable string, importance double")
 
 
 def permutation_importance(

@@ -1,12 +1,15 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from mlscout.operators.neighbours import nearest_neighbours
 from mlscout.plans.estimators import GRIDS, make_estimator, tuning_grid
 from mlscout.operators.bayes import gaussian_nb, gaussian_nb_predict
-from mlscout.plans.findings import explain, next_steps, write_report
-from mlscout.plans.train import compare, load_model, permutation_importance, save_model, train
+from mlscout.plans.findings import explain, importance_findings, next_steps, write_report
+from mlscout.plans.train import compare, importance, load_model, permutation_importance, save_model, train
 from mlscout.plans.validate import validate
 from mlscout.sources.sinks import write_predictions
 
@@ -165,3 +168,13 @@ def test_naive_bayes_leaves_missing_features_out(spark):
     asked = spark.createDataFrame([(11.0, None), (0.5, float("nan")), (None, None)], "x double, y double")
     got = [r.prediction for r in gaussian_nb_predict(asked, model, ["x", "y"]).collect()]
     assert got == ["b", "a", "b"]
+
+
+def test_importance_shares_are_of_all_features(spark):
+    # of the 20 largest alone the first would have 56 % and be called dominant
+    learner = SimpleNamespace(coefficients=Vectors.dense([0.3] + [0.0125] * 56))
+    model = SimpleNamespace(learner=learner, recipe=SimpleNamespace(features=[f"f{i:02}" for i in range(57)]))
+    found = importance(spark, model)
+    assert found.count() == 57
+    top = importance_findings(found).filter("rank = 1").first()
+    assert (top.item, top.value, top.band) == ("f00", 30.0, None)
