@@ -10,7 +10,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlscout.llm import archives, bpe, mixing, neighbours, ngram_join, repeats, resharding, token_files, topk, toxicity
+from mlscout.llm import (
+    alignment,
+    archives,
+    bpe,
+    mixing,
+    neighbours,
+    ngram_join,
+    pieces,
+    repeats,
+    resharding,
+    token_files,
+    topk,
+    toxicity,
+)
 
 SHARDS, OLD_SHARDS = 24, 16
 QUERY_EVERY = 50
@@ -82,6 +95,15 @@ def op10_collision_counting(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, folder, "documents"), *paths)[0]
+
+
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +117,8 @@ QUERIES = {
         op8_repeated_passages,
         op9_source_mixing,
         op10_collision_counting,
+        op11_tokenizer_alignment,
+        op13_sentencepiece,
     )
 }
 
