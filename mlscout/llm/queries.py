@@ -23,6 +23,7 @@ from mlscout.llm import (
     token_files,
     topk,
     toxicity,
+    variants,
 )
 
 SHARDS, OLD_SHARDS = 24, 16
@@ -100,6 +101,10 @@ def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), *paths)[0]
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -118,6 +123,7 @@ QUERIES = {
         op9_source_mixing,
         op10_collision_counting,
         op11_tokenizer_alignment,
+        op12_spelling_variants,
         op13_sentencepiece,
     )
 }
