@@ -8,6 +8,7 @@ from mlscout.catalog.fixtures import EVENTS_SQL, events, hash_sql, lines, rounde
 from mlscout.functions.hashing import HASH_RANGE, row_hash
 from mlscout.operators.issues import find_issues
 from mlscout.operators.profile import profile
+from mlscout.operators.gram import pair_correlations
 from mlscout.operators.recipe import (
     DropColumns, DropCorrelated, DropMissingColumns, DropNearZeroVariance, DropUnusedLevels,
     DropZeroVariance, Dummy, ImputeMedian, ImputeMode, IntegerEncode, MinMax, NovelLevel,
@@ -203,6 +204,34 @@ def _(spark, folder):
     return rounded(spark.createDataFrame(cells, "a string, b string, r double"))
 
 
+GAPS = {
+    "l_quantity": "CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity END",
+    "l_extendedprice": "CASE WHEN l_partkey % 5 <> 0 THEN l_extendedprice END",
+    "l_discount": "CASE WHEN l_discount > 0 THEN l_discount END",
+    "l_tax": "l_tax",
+    "l_partkey": "CASE WHEN l_quantity > 10 THEN CAST(l_partkey AS DOUBLE) END",
+    "never": "CAST(NULL AS DOUBLE)",
+    "constant": "CASE WHEN l_orderkey % 2 = 0 THEN CAST(0.1 AS DOUBLE) END",
+}
+
+
+@query(
+    "recipe_correlation_pairwise",
+    f"WITH t AS (SELECT {', '.join(f'{e} AS {c}' for c, e in GAPS.items())} FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, count({a} + {b}) AS n, "
+        + ("CAST(NULL AS DOUBLE)" if {"never", "constant"} & {a, b} else f"round(corr({a}, {b}), 6)")
+        + " AS r FROM t"
+        for i, a in enumerate(GAPS)
+        for b in list(GAPS)[i + 1 :]
+    ),
+)
+def _(spark, folder):
+    # columns with gaps of their own: each pair over the rows where both are there
+    rows = table(spark, folder, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in GAPS.items()])
+    return rounded(pair_correlations(rows, list(GAPS)))
+
+
 @query(
     "recipe_drop_correlated",
     "SELECT event_id, value, user_id FROM events",

@@ -22,9 +22,9 @@ from mlscout.kinds import (
     missing,
     present_double,
 )
+from mlscout.operators.gram import pair_correlations
 
 MAX_UNIQUE = 10_000
-PAIRS_PER_AGGREGATE = 400
 
 
 @dataclass
@@ -293,34 +293,13 @@ def profile_outliers(df: DataFrame) -> DataFrame:
 def profile_correlations(df: DataFrame) -> DataFrame:
     """Pearson r of every pair of numeric columns over rows where both are finite.
 
-    A constant side gives NULL. The pairs are cut into aggregates of bounded width.
+    A constant side gives NULL. All pairs come from one scan of the table.
     """
     names = columns_of(df, NUMERIC)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if not pairs:
+    if len(names) < 2:
         raise ValueError("needs at least two numeric columns")
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        aggregates = []
-        entries = []
-        for i, (a, b) in enumerate(pairs[start : start + PAIRS_PER_AGGREGATE]):
-            both = finite_double(df, a).isNotNull() & finite_double(df, b).isNotNull()
-            x, y = F.when(both, finite_double(df, a)), F.when(both, finite_double(df, b))
-            aggregates += [
-                F.covar_samp(x, y).alias(f"c{i}"),
-                F.stddev_samp(x).alias(f"x{i}"),
-                F.stddev_samp(y).alias(f"y{i}"),
-            ]
-            entries.append(
-                F.struct(
-                    F.lit(a).alias("column_a"),
-                    F.lit(b).alias("column_b"),
-                    F.try_divide(f"c{i}", F.col(f"x{i}") * F.col(f"y{i}")).alias("r"),
-                )
-            )
-        part = _tall(df, entries, aggregates)
-        out = part if out is None else out.unionByName(part)
-    return out
+    values = df.select(*[finite_double(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    return pair_correlations(values, names).drop("n")
 
 
 def profile_histogram(df: DataFrame, bins: int = 10) -> DataFrame:

@@ -30,7 +30,7 @@ from mlscout.kinds import (
     missing,
     present_double,
 )
-from mlscout.operators.profile import profile_correlations
+from mlscout.operators.gram import pair_correlations
 
 MAX_LEVELS = 1000  # levels of one column that may become parameters
 OTHER_LEVEL = "OTHER"
@@ -502,7 +502,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> list[list[float
     """
     values = df.select(*[present_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     matrix = [[1.0 if i == j else math.nan for j in range(len(columns))] for i in range(len(columns))]
-    for row in profile_correlations(values).collect():
+    if len(columns) < 2:
+        return matrix
+    for row in pair_correlations(values, values.columns).collect():
         i, j = int(row["column_a"][1:]), int(row["column_b"][1:])
         matrix[i][j] = matrix[j][i] = math.nan if row["r"] is None else row["r"]
     return matrix
