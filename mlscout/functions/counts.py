@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from mlscout.kinds import column
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(position, column, value, n)`` over string forms; NULL is a value of its own.
 
+    ``by`` columns stand in front and part the counts.
+
     Hot values are combined on the map side, so a value held by a third of all rows
     costs one row per map task.
     """
@@ -27,8 +29,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
     )
     return (
-        df.select(F.inline(entries))
-        .groupBy("position", "column", "value")
+        df.select(*map(column, by), F.inline(entries))
+        .groupBy(*map(column, by), "position", "column", "value")
         .agg(F.count("*").alias("n"))
     )
 

@@ -124,3 +124,60 @@ def pair_correlations(values: DataFrame, names: Sequence[str]) -> DataFrame:
         )
 
     return gram_state(values).mapInArrow(run, "column_a string, column_b string, n long, r double")
+
+
+def _second_moments(shifts: np.ndarray, scales: np.ndarray):
+    """Products of the shifted and scaled values, gaps and indicators of a block, per fold."""
+    width = len(shifts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            step = max(1, BLOCK_CELLS // (batch.num_columns + width + 1))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                fold = part.column(0).to_numpy(zero_copy_only=False)
+                columns = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in part.columns[1:]]
+                x = np.column_stack(columns) if columns else np.zeros((part.num_rows, 0))
+                gap = np.isnan(x[:, :width])
+                z = np.where(gap, 0.0, (x[:, :width] - shifts) / scales)
+                z = np.column_stack([np.ones(part.num_rows), z, gap, x[:, width:]])
+                for f in np.unique(fold).tolist():
+                    own = z[fold == f]
+                    total[f] = total.get(f, 0.0) + own.T @ own
+        yield from _fold_rows(total)
+
+    return run
+
+
+def _fold_rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if total:
+        states = [m.tobytes() for m in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(states, pa.binary())], ["fold", "state"])
+
+
+def _fold_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for fold, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[fold] = total.get(fold, 0.0) + np.frombuffer(raw)
+    yield from _fold_rows(total)
+
+
+def fold_second_moments(
+    values: DataFrame, shifts: Sequence[float], scales: Sequence[float]
+) -> dict[int, np.ndarray]:
+    """Per fold the sums of products of (1, values, gaps, indicators), from one scan.
+
+    The first column of ``values`` is the fold's number, then come as many double columns as
+    there are shifts, which may have gaps, then 0/1 columns. Matrices of folds add up.
+    """
+    schema = "fold long, state binary"
+    make = _second_moments(np.array(shifts, np.float64), np.array(scales, np.float64))
+    fan = min(FAN_IN, values.sparkSession.sparkContext.defaultParallelism)
+    states = values.mapInArrow(make, schema).repartition(fan).mapInArrow(_fold_sums, schema)
+    size = 2 * len(shifts) + len(values.columns) - len(shifts)
+    return {
+        r["fold"]: np.frombuffer(bytes(r["state"])).reshape(size, size)
+        for r in states.repartition(1).mapInArrow(_fold_sums, schema).collect()
+    }

@@ -11,7 +11,7 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +55,16 @@ class Levels:
         return self.n_unique <= MAX_LEVELS
 
 
+class Moments(NamedTuple):
+    """Of the values that are there; ``sd`` is None for fewer than two."""
+
+    n: int
+    mean: float
+    sd: float | None
+    low: float
+    high: float
+
+
 class Context:
     """What a recipe being fitted already knows about the current training frame."""
 
@@ -63,6 +73,7 @@ class Context:
         self.n_rows = n_rows
         self._levels: dict[str, Levels] = {}
         self._moments: dict[str, tuple] = {}
+        self.changed: set[str] = set()  # columns that a step of this part has altered
 
     def numeric(self, df: DataFrame) -> list[str]:
         return columns_of(df, NUMERIC, exclude=self.fixed)
@@ -74,23 +85,26 @@ class Context:
         """Level counts; one job covers every column not counted yet."""
         wanted = [c for c in columns if c not in self._levels]
         if wanted:
-            counts = value_counts(df, wanted)
-            sizes = counts.groupBy("column").agg(
-                F.count("value").alias("n_unique"),
-                F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("total"),
-                F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("n_missing"),
-            )
-            top = top_values(counts, MAX_LEVELS).select("column", "value", "n")
-            for c in wanted:
-                self._levels[c] = Levels({}, 0, 0)
-            for r in sizes.join(top, "column", "left").collect():
-                entry = self._levels[r["column"]]
-                entry.n_unique, entry.n_missing = r.n_unique, r.n_missing or 0
-                entry.total = r.total or 0
-                if r.value is not None:
-                    entry.counts[r.value] = r.n
+            self._levels.update(self._count_levels(df, wanted))
         return {c: self._levels[c] for c in columns}
 
+    def _count_levels(self, df: DataFrame, names: Sequence[str]) -> dict[str, Levels]:
+        counts = value_counts(df, names)
+        sizes = counts.groupBy("column").agg(
+            F.count("value").alias("n_unique"),
+            F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("total"),
+            F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("n_missing"),
+        )
+        top = top_values(counts, MAX_LEVELS).select("column", "value", "n")
+        found = {c: Levels({}, 0, 0) for c in names}
+        for r in sizes.join(top, "column", "left").collect():
+            entry = found[r["column"]]
+            entry.n_unique, entry.n_missing = r.n_unique, r.n_missing or 0
+            entry.total = r.total or 0
+            if r.value is not None:
+                entry.counts[r.value] = r.n
+        return found
+
     def set_levels(self, name: str, counts: dict[str, int], n_unique: int, n_missing: int) -> None:
         total = self._levels[name].total + self._levels[name].n_missing - n_missing
         self._levels[name] = Levels(counts, n_unique, n_missing, total)
@@ -99,15 +113,46 @@ class Context:
         """(mean, sample sd, min, max) per column; one aggregate for all new columns."""
         wanted = [c for c in columns if c not in self._moments]
         if wanted:
-            parts = []
-            for c in wanted:
-                value = present_double(df, c)
-                parts += [F.avg(value), F.stddev_samp(value), F.min(value), F.max(value)]
-            row = df.agg(*[p.alias(f"a{i}") for i, p in enumerate(parts)]).first()
-            for i, c in enumerate(wanted):
-                self._moments[c] = tuple(row[4 * i : 4 * i + 4])
+            self._moments.update(self._count_moments(df, wanted))
         return {c: self._moments[c] for c in columns}
 
+    def _count_moments(self, df: DataFrame, names: Sequence[str]) -> dict[str, tuple]:
+        parts = []
+        for c in names:
+            value = present_double(df, c)
+            parts += [F.avg(value), F.stddev_samp(value), F.min(value), F.max(value)]
+        row = df.agg(*[p.alias(f"a{i}") for i, p in enumerate(parts)]).first()
+        return {c: tuple(row[4 * i : 4 * i + 4]) for i, c in enumerate(names)}
+
+    def summaries(
+        self, df: DataFrame, names: Sequence[str], exact: bool
+    ) -> dict[str, tuple[float | None, Moments | None]]:
+        """(median, moments) per column; moments are None where they would cost another pass."""
+        if self.n_rows is None:
+            self.n_rows = df.count()
+        if exact and self.n_rows * len(names) > MAX_CELLS:
+            found = exact_quantiles(df, names, [0.5], keep_infinite=True, n_rows=self.n_rows)
+            return {c: (q[0], None) for c, q in found.items()}
+        # one aggregate: the median, and the moments the filled column will have
+        parts = []
+        for c in names:
+            value = present_double(df, c)
+            middle = F.percentile(value, 0.5) if exact else F.percentile_approx(value, 0.5, 10_000)
+            parts += [
+                middle, F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value)
+            ]
+        row = df.agg(*[p.alias(f"a{i}") for i, p in enumerate(parts)]).first()
+        found = {c: row[6 * i : 6 * i + 6] for i, c in enumerate(names)}
+        return {c: (v[0], Moments(*v[1:]) if v[1] else None) for c, v in found.items()}
+
+    def correlations(self, df: DataFrame, names: Sequence[str]) -> list[list[float]]:
+        return correlation_matrix(df, names)
+
+    def note(self, step: str, params: dict[str, Any]) -> None:
+        """A step has been applied; the columns it altered are no longer those of the table."""
+        for changes in params.values():
+            self.changed |= set(changes) if isinstance(changes, dict) else set()
+
     def set_moments(self, name: str, moments: tuple) -> None:
         self._moments[name] = moments
 
@@ -121,6 +166,7 @@ class Step:
 
     name = ""
     training_only = False
+    schema_only = False  # the parameters come from the schema alone
 
     def __init__(self, columns: Sequence[str] | None = None) -> None:
         self.columns = list(columns) if columns is not None else None
@@ -143,6 +189,7 @@ class AsNumber(Step):
     """
 
     name = "as_number"
+    schema_only = True
 
     def fit(self, df, context):
         return {
@@ -183,30 +230,16 @@ class ImputeMedian(Step):
         names = self._chosen(context.numeric(df))
         if not names:
             return {"medians": {}}
-        if context.n_rows is None:
-            context.n_rows = df.count()
-        if self.exact and context.n_rows * len(names) > MAX_CELLS:
-            found = exact_quantiles(df, names, [0.5], keep_infinite=True, n_rows=context.n_rows)
-            context.forget_moments(names)
-            return {"medians": {c: q[0] for c, q in found.items()}}
-        # one aggregate: the median, and the moments the filled column will have
-        parts = []
-        for c in names:
-            value = present_double(df, c)
-            middle = (
-                F.percentile(value, 0.5) if self.exact else F.percentile_approx(value, 0.5, 10_000)
-            )
-            parts += [
-                middle, F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value)
-            ]
-        row = df.agg(*[p.alias(f"a{i}") for i, p in enumerate(parts)]).first()
         medians = {}
-        for i, c in enumerate(names):
-            median, n, mean, sd, low, high = row[6 * i : 6 * i + 6]
+        for c, (median, m) in context.summaries(df, names, self.exact).items():
             medians[c] = median
-            if median is not None:
-                filled = context.n_rows - n
-                context.set_moments(c, _filled_moments(n, mean, sd or 0.0, low, high, filled, median))
+            if median is None:
+                context.set_moments(c, (None,) * 4)  # no value anywhere
+            elif m is None:
+                context.forget_moments([c])
+            else:
+                filled = context.n_rows - m.n
+                context.set_moments(c, _filled_moments(m.n, m.mean, m.sd or 0.0, m.low, m.high, filled, median))
         return {"medians": medians}
 
     @staticmethod
@@ -393,6 +426,7 @@ class IntegerEncode(Step):
 
 class DropColumns(Step):
     name = "drop_columns"
+    schema_only = True
 
     def __init__(self, columns: Sequence[str]) -> None:
         super().__init__(columns)
@@ -409,6 +443,7 @@ class DropZeroVariance(DropColumns):
     """Drop predictors with at most one distinct non-missing training value."""
 
     name = "drop_zero_variance"
+    schema_only = False
 
     def __init__(self, columns: Sequence[str] | None = None) -> None:
         Step.__init__(self, columns)
@@ -425,6 +460,7 @@ class DropMissingColumns(DropColumns):
     """Drop predictors whose training missing share is above the threshold."""
 
     name = "drop_missing_columns"
+    schema_only = False
 
     def __init__(self, columns: Sequence[str] | None = None, threshold: float = 0.5) -> None:
         Step.__init__(self, columns)
@@ -441,6 +477,7 @@ class DropNearZeroVariance(DropColumns):
     """Drop predictors dominated by one value and with few distinct values."""
 
     name = "drop_near_zero_variance"
+    schema_only = False
 
     def __init__(
         self,
@@ -481,6 +518,7 @@ class DropCorrelated(DropColumns):
     """Drop numeric predictors until no pair has |r| above the threshold."""
 
     name = "drop_correlated"
+    schema_only = False
 
     def __init__(
         self, columns: Sequence[str] | None = None, threshold: float = MAX_CORRELATION
@@ -492,7 +530,7 @@ class DropCorrelated(DropColumns):
         names = self._chosen(context.numeric(df))
         if len(names) < 2:
             return {"columns": []}
-        return {"columns": correlated_columns(names, correlation_matrix(df, names), self.threshold)}
+        return {"columns": correlated_columns(names, context.correlations(df, names), self.threshold)}
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
@@ -502,8 +540,6 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> list[list[float
     """
     values = df.select(*[present_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     matrix = [[1.0 if i == j else math.nan for j in range(len(columns))] for i in range(len(columns))]
-    if len(columns) < 2:
-        return matrix
     for row in pair_correlations(values, values.columns).collect():
         i, j = int(row["column_a"][1:]), int(row["column_b"][1:])
         matrix[i][j] = matrix[j][i] = math.nan if row["r"] is None else row["r"]
@@ -634,15 +670,18 @@ class Recipe:
     steps: list[Step]
     ids: list[str] = field(default_factory=list)
 
-    def fit(self, train: DataFrame, n_rows: int | None = None) -> FittedRecipe:
+    def fit(
+        self, train: DataFrame, n_rows: int | None = None, context: Context | None = None
+    ) -> FittedRecipe:
         """``n_rows`` saves a count when the caller knows the number of training rows."""
         fixed = [self.target, *self.ids]
-        context = Context(fixed, n_rows)
+        context = context or Context(fixed, n_rows)
         current = train
         fitted = FittedRecipe(self.target, list(self.ids))
         for step in self.steps:
             params = step.fit(current, context)
             current = step.apply(current, params)
+            context.note(step.name, params)
             if step.training_only:  # rows are gone: what was counted no longer holds
                 context = Context(fixed)
             fitted.steps.append((step.name, params))

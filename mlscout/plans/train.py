@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from mlscout.functions.hashing import content_hash, key_columns, row_hash
 from mlscout.kinds import CATEGORICAL, column, columns_of, drop_nested, missing, present_double
 from mlscout.operators.clean import oversample, undersample
+from mlscout.operators.folds import fit_parts
 from mlscout.operators.metrics import metric_set
 from mlscout.operators.recipe import FittedRecipe, IntegerEncode, Recipe, default_recipe
 from mlscout.operators.split import Split, assign_folds, split
@@ -46,6 +48,11 @@ PERMUTATION_BUCKET_ROWS = 100_000
 METRIC_SCHEMA = "metric string, estimator string, estimate double"
 CV_SCHEMA = "config string, metric string, mean double, std_err double, n int"
 
+#: what a learner or its data can be at fault for; a lost executor is none of these
+ESTIMATOR_ERRORS = (
+    ValueError, ArithmeticError, IllegalArgumentException, AnalysisException, SparkRuntimeException
+)
+
 STORAGE = StorageLevel.MEMORY_AND_DISK
 
 
@@ -93,6 +100,23 @@ def _assemble(recipe: FittedRecipe, rows: DataFrame, training: bool) -> DataFram
     return vectors.select(*named, F.col("_vector").alias("features"))
 
 
+class _Shared:
+    """Cached rows that several results use; the last one to be released gives them back."""
+
+    def __init__(self, cached: list[DataFrame], users: int) -> None:
+        self.cached, self.users = cached, users
+
+    def release(self) -> None:
+        self.users -= 1
+        if self.users <= 0:
+            self.drop()
+
+    def drop(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+        self.cached = []
+
+
 @dataclass
 class TrainResult:
     model: FittedModel
@@ -113,11 +137,15 @@ class TrainResult:
     split_message: str | None
     trained_schema: T.StructType = field(default_factory=T.StructType)
     _held: list[DataFrame] = field(default_factory=list, repr=False)
+    _shared: _Shared | None = field(default=None, repr=False)
 
     def release(self) -> None:
         """Give back the cached training and prediction rows."""
         for df in self._held:
             df.unpersist()
+        if self._shared is not None:
+            self._shared.release()
+            self._shared = None
 
 
 def _class_levels(df: DataFrame, target: str) -> list[Any]:
@@ -135,16 +163,30 @@ def _label(df: DataFrame, target: str, levels: list[Any], task_type: str):
     return (F.array_position(known, column(target)) - 1).cast("double")
 
 
-def _fit_recipe(recipe: Recipe, rows: DataFrame, engine: str, n_rows: int) -> FittedRecipe:
-    fitted = recipe.fit(rows, n_rows)
-    left = columns_of(fitted.apply(rows.limit(0)), CATEGORICAL, exclude=[recipe.target, *recipe.ids])
-    if not left:
-        return fitted
-    if engine not in TREE_ENGINES:
+def _fit_recipes(
+    recipe: Recipe, rows: DataFrame, engines: Sequence[str], parts: dict[Any, int]
+) -> tuple[dict[tuple[bool, Any], FittedRecipe], list[str]]:
+    """The recipe fitted on every training part, addressed by (levels coded, part).
+
+    ``parts`` maps None (all rows) and folds (the rows of the other folds) to row counts. The
+    coded form, with level positions for trees, is there where the recipe leaves text columns,
+    whose names are returned as well.
+    """
+    plain = fit_parts(recipe, rows, "_fold", parts)
+    found = {(False, part): fitted for part, fitted in plain.items()}
+    fixed, empty = [recipe.target, *recipe.ids], rows.limit(0)
+    left = {c: None for f in plain.values() for c in columns_of(f.apply(empty), CATEGORICAL, exclude=fixed)}
+    if left and set(engines) & set(TREE_ENGINES):
+        coded = Recipe(recipe.target, [*recipe.steps, IntegerEncode(list(left))], recipe.ids)
+        found |= {(True, part): fitted for part, fitted in fit_parts(coded, rows, "_fold", parts).items()}
+    return found, list(left)
+
+
+def _form(engine: str, left: Sequence[str]) -> bool:
+    """Which form of the recipe an engine reads: the coded one where a tree meets text."""
+    if left and engine not in TREE_ENGINES:
         raise ValueError(f"engine '{engine}' needs numbers; encode {', '.join(left)}")
-    # trees split on level positions
-    coded = Recipe(recipe.target, [*recipe.steps, IntegerEncode(left)], recipe.ids)
-    return coded.fit(rows, n_rows)
+    return bool(left)
 
 
 def _fit(
@@ -185,62 +227,126 @@ def tune(
     grid: Sequence[dict[str, Any]],
     parallelism: int = PARALLEL_FITS,
 ) -> tuple[DataFrame, dict[str, Any]]:
-    """Cross-validate every setting; ``rows`` has a ``_fold`` column.
+    """Cross-validate every setting of one engine; ``rows`` has a ``_fold`` column.
+
+    Returns the metrics per setting and the best setting.
+    """
+    sizes = _fold_sizes(rows)
+    recipes, left = _fit_recipes(recipe, rows, [engine], _parts(sizes, whole=False))
+    found = _cross_validate(
+        rows, recipe.target, recipes, left, {engine: grid}, task_type,
+        levels=levels, sizes=sizes, parallelism=parallelism,
+    )[engine]
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
+def _fold_sizes(rows: DataFrame) -> dict[int, int]:
+    return {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}
+
 
-    The recipe is fitted again on the training part of every fold. The settings of a
-    fold, and on few rows the folds too, run side by side on cached features, and one
-    aggregation evaluates all settings of a fold. Returns the metrics per setting and the best setting.
+def _parts(sizes: dict[int, int], whole: bool = True) -> dict[Any, int]:
+    """Row counts of the training parts: without each fold, and of all rows."""
+    total = sum(sizes.values())
+    return ({None: total} if whole else {}) | {f: total - n for f, n in sorted(sizes.items())}
+
+
+def _cross_validate(
+    rows: DataFrame,
+    target: str,
+    recipes: dict[tuple[bool, Any], FittedRecipe],
+    left: Sequence[str],
+    grids: dict[str, Sequence[dict[str, Any]]],
+    task_type: str,
+    *,
+    levels: list[Any],
+    sizes: dict[int, int],
+    parallelism: int,
+) -> dict[str, tuple[DataFrame, dict[str, Any]] | Exception]:
+    """Metrics of every setting and the best one, per engine, or why an engine has none.
+
+    The features of a fold are made once and cached while all engines and settings learn from
+    them; one aggregation per engine evaluates its settings. On few rows folds run side by side.
     """
-    target = recipe.target
     spark = rows.sparkSession
     label = _label(rows, target, levels, task_type)
-    sizes = {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}
     total = sum(sizes.values())
+    failed: dict[str, Exception] = {}
+    forms: dict[str, bool] = {}
+    for engine in grids:
+        try:
+            forms[engine] = _form(engine, left)
+        except ValueError as error:
+            failed[engine] = error
 
-    def run_fold(fold: int) -> list[tuple[str, str, float]]:
+    def run_fold(fold: int) -> list[tuple[str, str, str, float]]:
         part = rows.filter(F.col("_fold") != fold)
         held = rows.filter(F.col("_fold") == fold)
         n_part = total - sizes[fold]
-        fitted = _fit_recipe(recipe, part, engine, n_part)
-        learn = _features(fitted, part, label, [], True, n_part).persist(STORAGE)
-        check = _features(fitted, held, label, [target], False, sizes[fold]).persist(STORAGE)
-
-        def run(numbered: tuple[int, dict[str, Any]]) -> DataFrame:
-            i, params = numbered
-            model = _fit(fitted, learn, engine, task_type, target, levels, params, n_part)
-            return model.score(check).withColumn("_config", F.lit(str(i)))
-
+        found, cached = [], {}
         try:
+            for coded in dict.fromkeys(forms.values()):
+                fitted = recipes[coded, fold]
+                cached[coded] = (
+                    _features(fitted, part, label, [], True, n_part).persist(STORAGE),
+                    _features(fitted, held, label, [target], False, sizes[fold]).persist(STORAGE),
+                )
+
+            def run(job: tuple[str, int, dict[str, Any]]) -> tuple[str, DataFrame | None]:
+                engine, i, params = job
+                learn, check = cached[forms[engine]]
+                try:
+                    model = _fit(
+                        recipes[forms[engine], fold], learn, engine, task_type, target, levels, params, n_part
+                    )
+                except Exception as error:
+                    failed.setdefault(engine, error)
+                    return engine, None
+                return engine, model.score(check).withColumn("_config", F.lit(str(i)))
+
+            jobs = [(e, i, p) for e in forms for i, p in enumerate(grids[e])]
             with ThreadPoolExecutor(max_workers=parallelism) as pool:
-                scored = list(pool.map(run, enumerate(grid)))
-            together = scored[0]
-            for one in scored[1:]:
-                together = together.unionByName(one)
-            found = metric_set(
-                together, target, "prediction", task_type,
-                probability="probability" if task_type == CLASSIFICATION else None,
-                levels=levels or None, by=["_config"], group_rows=sizes[fold],
-            )
-            return [(r["_config"], r.metric, r.estimate) for r in found.collect()]
+                scored = list(pool.map(run, jobs))
+            for engine in forms:
+                mine = [df for e, df in scored if e == engine]
+                if engine in failed or any(df is None for df in mine):
+                    continue
+                together = mine[0]
+                for one in mine[1:]:
+                    together = together.unionByName(one)
+                metrics = metric_set(
+                    together, target, "prediction", task_type,
+                    probability="probability" if task_type == CLASSIFICATION else None,
+                    levels=levels or None, by=["_config"], group_rows=sizes[fold],
+                )
+                found += [(engine, r["_config"], r.metric, r.estimate) for r in metrics.collect()]
+            return found
         finally:
-            learn.unpersist()
-            check.unpersist()
+            for pair in cached.values():
+                for df in pair:
+                    df.unpersist()
 
-    values: dict[tuple[str, str], list[float]] = {}
+    values: dict[str, dict[tuple[str, str], list[float]]] = {e: {} for e in forms}
     # many rows fill the cluster with one fold, and one fold at a time is cached then
     side_by_side = parallelism if total <= PARALLEL_FOLD_ROWS else 1
     with ThreadPoolExecutor(max_workers=side_by_side) as pool:
-        for found in pool.map(run_fold, sorted(sizes)):  # settings x metrics per fold
-            for config, metric, estimate in found:
-                values.setdefault((config, metric), []).append(estimate)
-    table = []
-    for (config, metric), estimates in sorted(values.items()):
-        n = len(estimates)
-        mean = sum(estimates) / n
-        spread = (sum((e - mean) ** 2 for e in estimates) / (n - 1)) ** 0.5 if n > 1 else None
-        table.append((config, metric, mean, None if spread is None else spread / n**0.5, n))
-    metrics = spark.createDataFrame(table, CV_SCHEMA)
-    return metrics, grid[int(select_best(table, task_type))]
+        for found in pool.map(run_fold, sorted(sizes)):  # engines x settings x metrics per fold
+            for engine, config, metric, estimate in found:
+                values[engine].setdefault((config, metric), []).append(estimate)
+    out: dict[str, tuple[DataFrame, dict[str, Any]] | Exception] = dict(failed)
+    for engine, per in values.items():
+        if engine in failed:
+            continue
+        table = []
+        for (config, metric), estimates in sorted(per.items()):
+            n = len(estimates)
+            mean = sum(estimates) / n
+            spread = (sum((e - mean) ** 2 for e in estimates) / (n - 1)) ** 0.5 if n > 1 else None
+            table.append((config, metric, mean, None if spread is None else spread / n**0.5, n))
+        metrics = spark.createDataFrame(table, CV_SCHEMA)
+        out[engine] = metrics, grids[engine][int(select_best(table, task_type))]
+    return out
 
 
 def select_best(table: Sequence[tuple], task_type: str) -> str:
@@ -284,9 +390,45 @@ def train(
     recipe and the class balance use training rows only. ``params`` are held fixed in
     every setting tried.
     """
+    results, failures = _train_all(
+        df, target, [engine], task_type, recipe, cv_folds, tune_grid,
+        key=key, balance=balance, params=params, parallelism=parallelism,
+    )
+    if failures:
+        raise failures[engine]
+    return results[engine]
+
+
+def _train_all(
+    df: DataFrame,
+    target: str,
+    engines: Sequence[str],
+    task_type: str,
+    recipe: Recipe | None = None,
+    cv_folds: int = FOLDS,
+    tune_grid: int = TRAIN_GRID,
+    *,
+    key: str | Sequence[str] | None = None,
+    balance: str = "none",
+    params: dict[str, Any] | None = None,
+    parallelism: int = PARALLEL_FITS,
+    progress: Callable[[float, str], None] | None = None,
+) -> tuple[dict[str, TrainResult], dict[str, Exception]]:
+    """Results per engine and errors per engine that failed.
+
+    Split, folds, fitted recipes and features are made once, whatever the number of engines.
+    """
     if target not in df.columns:
         raise ValueError(f"target column '{target}' not found")
-    check_engine(engine, task_type)
+    failures: dict[str, Exception] = {}
+    for engine in engines:
+        try:
+            check_engine(engine, task_type)
+        except ValueError as error:
+            failures[engine] = error
+    usable = [e for e in engines if e not in failures]
+    if not usable:
+        return {}, failures
     ids = [] if key is None else key_columns(df, key)
     taken = {"prediction", "probability"} & {target, *ids} | {"is_train"} & set(df.columns)
     if taken:
@@ -301,88 +443,106 @@ def train(
     # the split is a function of the rows: only the training side is cached, and the test
     # side is derived again when it is scored
     train_rows, test_rows = parts.train, parts.test
-    held: list[DataFrame] = []
+    stratify = target if task_type == CLASSIFICATION and parts.stratified else None
+    folded = assign_folds(train_rows, cv_folds, key, stratify=stratify, name="_fold")
+    if balance != "none":
+        if balance not in ("oversample", "undersample"):
+            raise ValueError(f"unknown balance '{balance}'")
+        balanced = oversample if balance == "oversample" else undersample
+        # folds are dealt first, so copies of a row share its fold
+        folded = balanced(folded, target, key=key or key_columns(train_rows, None))
+    shared = _Shared([folded.persist(STORAGE)], len(usable))
+    learning: dict[bool, DataFrame] = {}
+    results: dict[str, TrainResult] = {}
     try:
-        stratify = target if task_type == CLASSIFICATION and parts.stratified else None
-        folded = assign_folds(train_rows, cv_folds, key, stratify=stratify, name="_fold")
-        if balance != "none":
-            if balance not in ("oversample", "undersample"):
-                raise ValueError(f"unknown balance '{balance}'")
-            balanced = oversample if balance == "oversample" else undersample
-            # folds are dealt first, so copies of a row share its fold
-            folded = balanced(folded, target, key=key or key_columns(train_rows, None))
-        folded = folded.persist(STORAGE)
-        held.append(folded)
         used = recipe or default_recipe(target)
         used = Recipe(used.target, used.steps, sorted({*used.ids, *ids, "_fold"}))
-
         fixed = params or {}
-        best: dict[str, Any] = {**DEFAULTS.get(engine, {}), **fixed}
-        settings = [best]
-        if has_tunables(engine) and tune_grid > 0:
-            settings = [{**best, **s, **fixed} for s in tuning_grid(engine, tune_grid)]
-        n_train = folded.count()
+        grids: dict[str, list[dict[str, Any]]] = {}
+        for engine in usable:
+            best = {**DEFAULTS.get(engine, {}), **fixed}
+            grids[engine] = [best]
+            if has_tunables(engine) and tune_grid > 0:
+                grids[engine] = [{**best, **s, **fixed} for s in tuning_grid(engine, tune_grid)]
+        sizes = _fold_sizes(folded)
+        n_train = sum(sizes.values())
         levels = _class_levels(folded, target) if task_type == CLASSIFICATION else []
         label = _label(folded, target, levels, task_type)
-        table = None
-        with ThreadPoolExecutor(max_workers=1) as beside:
-            # the final recipe does not depend on the tuning: fit it meanwhile
-            final_recipe = beside.submit(_fit_recipe, used, folded, engine, n_train)
+        recipes, left = _fit_recipes(used, folded, usable, _parts(sizes))
+        tuned = _cross_validate(
+            folded, target, recipes, left, grids, task_type,
+            levels=levels, sizes=sizes, parallelism=parallelism,
+        )
+        kept = [*dict.fromkeys([*ids, target])]
+        for seq, engine in enumerate(engines, 1):
+            if progress is not None:
+                progress(seq / len(engines), f"training {engine}")
+            if engine in failures:
+                continue
             try:
-                table, best = tune(
-                    folded, used, engine, task_type,
-                    levels=levels, grid=settings, parallelism=parallelism,
+                coded = _form(engine, left)
+                own_notes, table, best = list(notes), None, grids[engine][0]
+                if isinstance(tuned[engine], Exception):
+                    if not isinstance(tuned[engine], ESTIMATOR_ERRORS):
+                        raise tuned[engine]
+                    # settings that cannot be learned are no reason to stop: train with the defaults
+                    own_notes.append(f"tuning failed, defaults are used: {tuned[engine]}")
+                else:
+                    table, best = tuned[engine]
+                    chosen = str(grids[engine].index(best))
+                    table = table.filter(F.col("config") == chosen)
+                fitted = recipes[coded, None]
+                fitted.ids = [c for c in fitted.ids if c != "_fold"]
+                if coded not in learning:
+                    learning[coded] = _features(fitted, folded, label, [], True, n_train).persist(STORAGE)
+                held = [learning[coded]] if engine == "kknn" else []  # it reads its rows when it predicts
+                model = _fit(fitted, learning[coded], engine, task_type, target, levels, best, n_train)
+                predictions = model.predict(test_rows, kept).persist(STORAGE)
+                held.append(predictions)
+                n_test = predictions.count()
+                metrics = metric_set(
+                    predictions, target, "prediction", task_type,
+                    probability="probability" if task_type == CLASSIFICATION else None,
+                    levels=levels or None, group_rows=n_test,
                 )
-                chosen = str(settings.index(best))
-                table = table.filter(F.col("config") == chosen)
-            except Exception as error:  # tuning is optional: train with the defaults
-                notes.append(f"tuning failed, defaults are used: {error}")
-            fitted = final_recipe.result()
-        fitted.ids = [c for c in fitted.ids if c != "_fold"]
-        learn = _features(fitted, folded, label, [], True, n_train).persist(STORAGE)
-        try:
-            model = _fit(fitted, learn, engine, task_type, target, levels, best, n_train)
-        finally:
-            if engine != "kknn":  # the neighbour model reads its rows when it predicts
-                learn.unpersist()
-            else:
-                held.append(learn)
-        kept = [*dict.fromkeys([*ids, target])]
-        predictions = model.predict(test_rows, kept).persist(STORAGE)
-        held.append(predictions)
-        n_test = predictions.count()
-        metrics = metric_set(
-            predictions, target, "prediction", task_type,
-            probability="probability" if task_type == CLASSIFICATION else None,
-            levels=levels or None, group_rows=n_test,
-        )
-        # at most five rows: keep their values, not the plan behind them
-        spark = df.sparkSession
-        metrics = spark.createDataFrame([tuple(r) for r in metrics.collect()], METRIC_SCHEMA)
-        return TrainResult(
-            model=model,
-            train_data=train_rows,
-            test_data=test_rows,
-            predictions=predictions,
-            cv_metrics=table,
-            test_metrics=metrics,
-            importance=importance(spark, model),
-            engine=engine,
-            task_type=task_type,
-            target=target,
-            warnings=list(dict.fromkeys(notes)),
-            n_train=n_train,
-            n_test=n_test,
-            stratified=parts.stratified,
-            cv_stratified=stratify is not None,
-            split_message=parts.message,
-            trained_schema=df.schema,
-            _held=held,
-        )
+                # at most five rows: keep their values, not the plan behind them
+                spark = df.sparkSession
+                metrics = spark.createDataFrame([tuple(r) for r in metrics.collect()], METRIC_SCHEMA)
+                results[engine] = TrainResult(
+                    model=model,
+                    train_data=train_rows,
+                    test_data=test_rows,
+                    predictions=predictions,
+                    cv_metrics=table,
+                    test_metrics=metrics,
+                    importance=importance(spark, model),
+                    engine=engine,
+                    task_type=task_type,
+                    target=target,
+                    warnings=list(dict.fromkeys(own_notes)),
+                    n_train=n_train,
+                    n_test=n_test,
+                    stratified=parts.stratified,
+                    cv_stratified=stratify is not None,
+                    split_message=parts.message,
+                    trained_schema=df.schema,
+                    _held=held,
+                    _shared=shared,
+                )
+            except Exception as error:
+                failures[engine] = error
+                shared.release()
+        return results, failures
     except Exception:
-        for cached in held:
-            cached.unpersist()
+        for result in results.values():
+            result.release()
+        shared.drop()
         raise
+    finally:
+        kept_rows = {id(x) for r in results.values() for x in r._held}
+        for cached in learning.values():
+            if id(cached) not in kept_rows:
+                cached.unpersist()
 
 
 def importance(spark: SparkSession, model: FittedModel) -> DataFrame | None:
@@ -489,18 +649,12 @@ def compare(
     **options: Any,
 ) -> Comparison:
     """Train several engines on the same split; an engine that fails is left out."""
-    results: dict[str, TrainResult] = {}
-    failures: dict[str, str] = {}
-    for i, engine in enumerate(engines, 1):
-        if progress is not None:
-            progress(i / len(engines), f"training {engine}")
-        try:
-            results[engine] = train(
-                df, target, engine, task_type, recipe, cv_folds, tune_grid, **options
-            )
-        except Exception as error:
-            failures[engine] = str(error)
-            warnings.warn(f"training {engine} failed: {error}", stacklevel=2)
+    results, errors = _train_all(
+        df, target, engines, task_type, recipe, cv_folds, tune_grid, progress=progress, **options
+    )
+    failures = {engine: str(error) for engine, error in errors.items()}
+    for engine, error in failures.items():
+        warnings.warn(f"training {engine} failed: {error}", stacklevel=2)
     if not results:
         raise ValueError(f"no engine could be trained: {failures}")
     metrics = None
