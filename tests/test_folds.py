@@ -42,7 +42,7 @@ def _close(a, b):
         return a.keys() == b.keys() and all(_close(a[k], b[k]) for k in a)
     if isinstance(a, (list, tuple)):
         return len(a) == len(b) and all(map(_close, a, b))
-    return a == pytest.approx(b, rel=1e-7, abs=1e-9) if isinstance(a, float) else a == b
+    return a == pytest.approx(b, rel=1e-7, abs=1e-6) if isinstance(a, float) else a == b
 
 
 @pytest.mark.parametrize("steps", [
