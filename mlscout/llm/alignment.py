@@ -26,10 +26,11 @@ matter. A table without rows gives none.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import operator
 import os
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from mlscout.llm.common import Memo, groups_of, stored
 
 BLOCK_BYTES = 4 << 20  # text of one block; a longer document is a block of its own
-SEGMENTS = 400_000  # short segments that a worker remembers
+SEGMENTS = 600_000  # short segments that a worker remembers
 SHORT = 64  # characters of a segment worth remembering
 COLD = 4096  # segments encoded in one call
 
@@ -59,6 +60,12 @@ class Segment(NamedTuple):
     times: bytes
 
 
+NOT_WHOLE = Segment(False, 0, 0, 0, 0, "", b"", b"")
+MARKS = ("\n", ";", ",", "|")  # before a segment's, a group's, a further token, the first of B
+SECOND, ID_END = operator.itemgetter(1), operator.attrgetter("id", "end")
+LARGE_GROUP = 4096  # links of a group beyond which equal ids are counted first
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters by which byte-level vocabularies print bytes: printable ones are
     themselves, the others follow from U+0100 in order."""
@@ -67,13 +74,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def refined(coarse: Sequence[int], tokens: Sequence[bytes]) -> list[int]:
-    """Byte ends of tokens: the coarse end where it agrees with the decoded bytes, else these."""
-    ends, at = [], 0
-    for end, token in zip(coarse, tokens):
-        at = end if end - at == len(token) else at + len(token)
-        ends.append(at)
-    return ends
+def refined(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: the coarse end where the decoded sizes agree with it, else, inside
+    a character, the end that these sizes add up to."""
+    decoded = np.cumsum(sizes)
+    return np.where(coarse == decoded, coarse, decoded)
 
 
 class Aligner:
@@ -103,6 +108,13 @@ class Aligner:
             else p.piece.replace("▁", " ").encode()
             for p in model.pieces
         ]
+        self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        for i, token in self.bytes_a.items():
+            self.size_a[i] = len(token)
+        self.size_b = np.array([len(t) for t in self.bytes_b], np.int64)
+        most = max(len(self.size_a), len(self.size_b))
+        self.size_a = np.pad(self.size_a, (0, most - len(self.size_a)))
+        self.marked = [f"{m}{i}" for m in MARKS for i in range(most)]
         spec, before = model.normalizer_spec, cut["pre_tokenizer"] or {}
         # A cuts before every run of white space; no piece of B has a blank after something else
         apart = (
@@ -117,7 +129,7 @@ class Aligner:
             and not model.trainer_spec.treat_whitespace_as_suffix
         )
         self.border = re.compile(r"(?<=[^\s▁]) (?!\Z)") if apart else re.compile(r"(?!)")
-        self.known = Memo(lambda s: self.fresh([s])[0], SEGMENTS)
+        self.known = Memo(lambda s: None, SEGMENTS)
 
     @classmethod
     def of(cls, path_a: str, path_b: str) -> Aligner:
@@ -127,58 +139,110 @@ class Aligner:
 
     def learn(self, segments: list[str]) -> list[Segment]:
         """The segments aligned, from memory where they are short and known."""
-        known, found = self.known, {}
-        cold = [s for s in segments if s not in known and s not in known.older]
+        known, older = self.known, self.known.older
+        out = [known[s] if s in known else older.get(s) for s in segments]
+        old = {s: made for s, made in zip(segments, out) if made and s not in known}
+        cold = [i for i, made in enumerate(out) if made is None]
         for at in range(0, len(cold), COLD):
             some = cold[at : at + COLD]
-            found.update(zip(some, self.fresh(some)))
-        out = [found[s] if s in found else known[s] for s in segments]
-        known.remember({s: made for s, made in found.items() if len(s) <= SHORT})
+            for i, made in zip(some, self.fresh([segments[i] for i in some])):
+                out[i] = made
+        # only now, as remembering may drop the older half
+        known.remember(old | {segments[i]: out[i] for i in cold if len(segments[i]) <= SHORT})
         return out
 
     def fresh(self, segments: list[str]) -> list[Segment]:
-        """Align segments; each stands for a blank and its own characters."""
-        of_a = self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)
-        of_b = self.b.encode(segments, return_type="proto", num_threads=1)
-        return [self._align(s, a.ids, a.offsets, b.pieces) for s, a, b in zip(segments, of_a, of_b)]
-
-    def _align(self, segment: str, ids_a, offsets, pieces) -> Segment:
-        raw = b" " + segment.encode()
-        ids_b = [p.id for p in pieces]
-        tokens_a = [self.bytes_a[i] for i in ids_a]
-        tokens_b = [self.bytes_b[i] for i in ids_b]
-        if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-            return Segment(False, 0, 0, 0, 0, "", b"", b"")
-        ends = [e for _, e in offsets]
-        if len(raw) != len(segment) + 1:  # characters to bytes
-            place = [0, 1]
-            for c in segment:
-                place.append(place[-1] + len(c.encode()))
-            ends = [place[e] for e in ends]
-        ends_a = refined(ends, tokens_a)
-        ends_b = refined([p.end + 1 for p in pieces], tokens_b)
-        both = set(ends_b)
-        texts, links, n_links, a, b = [], Counter(), 0, 0, 0
-        for i, end in enumerate(ends_a):
-            if end not in both:
-                continue
-            j = ends_b.index(end, b)
-            left, right = ids_a[a : i + 1], ids_b[b : j + 1]
-            texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            n_links += len(left) * len(right)
-            if len(left) == len(right) == 1:
-                links[left[0] << 32 | right[0]] += 1
-            else:
-                times_b = Counter(right).items()
-                for x, m in Counter(left).items():
-                    for y, n in times_b:
-                        links[x << 32 | y] += m * n
-            a, b = i + 1, j + 1
-        return Segment(
-            True, len(ids_a), len(ids_b), len(texts), n_links, ";".join(texts),
-            np.fromiter(links.keys(), np.int64, len(links)).tobytes(),
-            np.fromiter(links.values(), np.int64, len(links)).tobytes(),
-        )
+        """Align segments; each stands for a blank and its own characters.
+
+        Segments that end as a border asks for are encoded side by side as one text, which
+        by the rule of the borders changes nothing; the others are texts of their own.
+        """
+        closed = [bool(s) and not (s[-1].isspace() or s[-1] == "▁") for s in segments]
+        inner = [s for s, c in zip(segments, closed) if c]
+        alone = [s for s, c in zip(segments, closed) if not c]
+        units = ([" ".join(inner)] if inner else []) + alone
+        of_a = self.a.encode_batch([" " + s for s in units], add_special_tokens=False)
+        of_b = [x.pieces for x in self.b.encode(units, return_type="proto", num_threads=1)]
+        # every character and byte of the batch has a place, blanks before segments included
+        text = " " + " ".join(units)
+        if text.isascii():
+            widths = np.ones(len(text), np.int64)
+        else:
+            code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            widths = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        place = np.append(0, np.cumsum(widths))  # of a character, in bytes
+        chars = np.array([len(s) + 1 for s in units])
+        begin = np.cumsum(chars) - chars
+        stop = place[np.cumsum([len(s) + 1 for s in inner + alone])]  # of each segment
+        chain = itertools.chain.from_iterable
+        counts_a = np.array([len(e.ids) for e in of_a])
+        n = int(counts_a.sum())
+        ids_a = np.fromiter(chain([e.ids for e in of_a]), np.int64, n)
+        ends_a = np.fromiter(map(SECOND, chain([e.offsets for e in of_a])), np.int64, n)
+        ends_a = place[ends_a + np.repeat(begin, counts_a)]
+        counts_b = np.array([len(x) for x in of_b])
+        both = np.fromiter(chain(map(ID_END, chain(of_b))), np.int64, 2 * int(counts_b.sum()))
+        ids_b, ends_b = both[::2], both[1::2] + 1 + np.repeat(place[begin], counts_b)
+        raw = text.encode()
+        ids, ends = [ids_a, ids_b], []
+        for mine, coarse, counts, table, size in (
+            (ids_a, ends_a, counts_a, self.bytes_a, self.size_a),
+            (ids_b, ends_b, counts_b, self.bytes_b, self.size_b),
+        ):
+            spelt = b"".join(map(table.__getitem__, mine.tolist()))
+            if spelt != raw:
+                half = len(segments) // 2
+                if half:  # halve until those that are not spelt stand alone
+                    return self.fresh(segments[:half]) + self.fresh(segments[half:])
+                return [NOT_WHOLE]
+            ends.append(refined(coarse, size[mine]))
+        made = self._grouped(ids, ends, stop)
+        if alone and inner:
+            ordered = iter(made[: len(inner)]), iter(made[len(inner) :])
+            made = [next(ordered[0 if c else 1]) for c in closed]
+        return made
+
+    def _grouped(self, ids, ends, stop) -> list[Segment]:
+        """Groups, their text and their links, for all segments of a batch at once."""
+        segment = [np.searchsorted(stop, e) for e in ends]
+        common = np.intersect1d(*ends)
+        group = [np.searchsorted(common, e) for e in ends]
+        sizes = [np.bincount(g, minlength=len(common)) for g in group]
+        firsts = [np.cumsum(n) - n for n in sizes]
+        owner = np.searchsorted(stop, common)  # the segment of a group
+        # the text: tokens in order of group and side, each with the mark that stands before it
+        order = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
+        marks = np.full(len(order), 2, np.int64)
+        begin = np.cumsum(sizes[0] + sizes[1]) - sizes[0] - sizes[1]
+        marks[begin] = 1
+        marks[begin[np.diff(owner, prepend=-1) > 0]] = 0
+        marks[begin + sizes[0]] = 3
+        tokens = marks * len(self.size_a) + np.concatenate(ids)[order]
+        text = "".join(map(self.marked.__getitem__, tokens.tolist()))
+        # the links: each token of A with all of B in its group; large groups by distinct ids
+        many = sizes[0] * sizes[1]
+        small = many <= LARGE_GROUP
+        mine = small[group[0]]
+        width = sizes[1][group[0][mine]]
+        at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        other = np.repeat(firsts[1][group[0][mine]], width) + at
+        pairs = [np.repeat(ids[0][mine], width) << 32 | ids[1][other]]
+        times = [np.ones(len(other), np.int64)]
+        of = [np.repeat(segment[0][mine], width)]
+        for g in np.flatnonzero(~small).tolist():
+            a, n = np.unique(ids[0][firsts[0][g] : firsts[0][g] + sizes[0][g]], return_counts=True)
+            b, m = np.unique(ids[1][firsts[1][g] : firsts[1][g] + sizes[1][g]], return_counts=True)
+            pairs.append((a[:, None] << 32 | b).ravel())
+            times.append((n[:, None] * m).ravel())
+            of.append(np.full(len(a) * len(b), owner[g]))
+        of = np.concatenate(of)
+        by = np.argsort(of, kind="stable")
+        pairs, times = np.concatenate(pairs)[by].tobytes(), np.concatenate(times)[by].tobytes()
+        until = np.cumsum(np.bincount(of, minlength=len(stop))) * 8
+        n_links = np.bincount(owner, many, len(stop)).astype(np.int64)
+        numbers = [np.bincount(x, minlength=len(stop)).tolist() for x in (*segment, owner)]
+        rows = zip(*numbers, n_links.tolist(), text.split("\n")[1:], [0, *until.tolist()], until.tolist())
+        return [Segment(True, a, b, n, links, t, pairs[x:y], times[x:y]) for a, b, n, links, t, x, y in rows]
 
     def cut(self, text: str) -> list[str]:
         """The text without the blank at each border; every segment gets its blank back.
@@ -194,34 +258,37 @@ class Aligner:
         which = [[numbers.setdefault(s, len(numbers)) for s in cut] for cut in cuts]
         segments = self.learn(list(numbers))
         del cuts, numbers
-        rows, kept = [], []
-        for mine in which:
-            found = [segments[i] for i in mine]
-            if not found or not all(s.whole for s in found):
-                rows.append({"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""})
-                kept.append([])
-                continue
-            digest = hashlib.sha256(";".join([s.text for s in found]).encode()).hexdigest()
-            sums = [sum([s[k] for s in found]) for k in (1, 2, 3, 4)]
-            rows.append(dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums), groups_sha256=digest))
-            kept.append(mine)
+        counts = np.array([len(mine) for mine in which], np.int64)
+        places = np.fromiter(itertools.chain.from_iterable(which), np.int64, int(counts.sum()))
+        doc = np.repeat(np.arange(len(texts)), counts)
+        # a text with a segment that is not whole has no tokens at all
+        broken = np.array([not s.whole for s in segments], bool)
+        lost = np.bincount(doc[broken[places]], minlength=len(texts)) > 0
+        places, doc = places[~lost[doc]], doc[~lost[doc]]
+        sums = [
+            np.bincount(doc, np.array([s[k] for s in segments], np.int64)[places], len(texts)).astype(np.int64).tolist()
+            for k in (1, 2, 3, 4)
+        ]
+        names, of = ("n_a", "n_b", "n_groups", "n_links"), [s.text for s in segments]
+        rows = [dict(zip(names, numbers)) for numbers in zip(*sums)]
+        for row, mine in zip(rows, which):
+            groups = ";".join(map(of.__getitem__, mine)).encode() if row["n_groups"] else None
+            row["groups_sha256"] = hashlib.sha256(groups).hexdigest() if groups else ""
         # all links of the block: each segment's list is gathered once per place it stands at
         sizes = np.array([len(s.pairs) // 8 for s in segments], np.int64)
         flat = np.frombuffer(b"".join([s.pairs for s in segments]), np.int64)
         times = np.frombuffer(b"".join([s.times for s in segments]), np.int64)
         pairs, number = np.unique(flat, return_inverse=True)
-        begins = np.cumsum(sizes) - sizes
-        counts = [len(mine) for mine in kept]
-        places = np.fromiter((i for mine in kept for i in mine), np.int64, sum(counts))
         lengths = sizes[places]
-        total = int(lengths.sum())
-        within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.repeat(begins[places], lengths) + within
-        doc = np.repeat(np.repeat(np.arange(len(kept)), counts), lengths)
-        keys, back = np.unique(doc * max(1, len(pairs)) + number[at], return_inverse=True)
-        many = np.bincount(back, times[at], len(keys)).astype("<u4")
-        doc, pair = np.divmod(keys, max(1, len(pairs)))
-        borders = np.searchsorted(doc, np.arange(len(kept) + 1))
+        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.repeat((np.cumsum(sizes) - sizes)[places], lengths) + within
+        keys = np.repeat(doc, lengths) * max(1, len(pairs)) + number[at]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        many = np.add.reduceat(times[at][order], new).astype("<u4") if len(new) else np.zeros(0, "<u4")
+        doc, pair = np.divmod(keys[new], max(1, len(pairs)))
+        borders = np.searchsorted(doc, np.arange(len(texts) + 1))
         pair = pair.astype("<u4")
         for row, x, y in zip(rows, borders[:-1].tolist(), borders[1:].tolist()):
             row["links"] = pair[x:y].tobytes() + many[x:y].tobytes()
