@@ -18,6 +18,7 @@ from mlscout.operators.neighbours import nearest_neighbours
 from mlscout.plans.estimators import plain_linear
 from mlscout.plans.findings import explain, report_lines
 from mlscout.plans.knn import NeighbourVote
+from mlscout.plans.pruning import pruning_table
 from mlscout.plans.train import compare, permutation_importance, train
 from mlscout.plans.validate import validate
 
@@ -63,6 +64,35 @@ NB = (
 )
 
 
+STEPS = "100.0 * (g >= 2)::INT + 10.0 * (g = 1)::INT + 3.0 * (g = 3)::INT + l_discount"
+
+
+@query(
+    "tree_pruning_sequence",
+    # four groups in a tree of two levels: the pair 2 | 3 goes first, then 0 | 1, then the root
+    f"WITH t AS (SELECT g, g >= 2 AS high, {STEPS} AS y FROM (SELECT l_linenumber % 4 AS g, l_discount FROM lineitem)), "
+    "l AS (SELECT high, sum(sse) AS sse FROM (SELECT high, g, var_pop(y) * count(*) AS sse FROM t GROUP BY ALL) GROUP BY 1), "
+    "p AS (SELECT high, var_pop(y) * count(*) AS sse FROM t GROUP BY 1), "
+    "r AS (SELECT var_pop(y) * count(*) AS sse FROM t), "
+    "c AS (SELECT 0 AS step, 0.0 AS saved, 4 AS leaves UNION ALL "
+    "SELECT 1, (SELECT p.sse - l.sse FROM p JOIN l USING (high) WHERE high), 3 UNION ALL "
+    "SELECT 2, (SELECT p.sse - l.sse FROM p JOIN l USING (high) WHERE NOT high), 2 UNION ALL "
+    "SELECT 3, (SELECT sse FROM r) - (SELECT sum(sse) FROM p), 1) "
+    "SELECT step, round(saved / (SELECT sse FROM r), 6) AS complexity, leaves FROM c",
+)
+def _(spark, folder):
+    group = F.col("l_linenumber") % 4
+    rows = table(spark, folder, "lineitem").select(
+        array_to_vector(F.array(group.cast("double"))).alias("features"),
+        (
+            F.when(group >= 2, 100.0).otherwise(0.0) + F.when(group == 1, 10.0).otherwise(0.0)
+            + F.when(group == 3, 3.0).otherwise(0.0) + F.col("l_discount").cast("double")
+        ).alias("label"),
+    )
+    steps = pruning_table(rows, "regression", depth=2)
+    return rounded(spark.createDataFrame(steps, "step int, complexity double, leaves int"))
+
+
 @query(
     "nb_gaussian_model",
     "SELECT event_type AS class, count(*) AS n, round(avg(value), 6) AS mean_0, round(var_pop(value), 4) AS var_0, "

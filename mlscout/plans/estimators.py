@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -22,7 +21,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
 from pyspark.ml.regression import (
-    DecisionTreeRegressor,
     GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
@@ -33,6 +31,7 @@ from pyspark.sql import functions as F
 
 from mlscout.operators.recommend import is_compatible
 from mlscout.operators.task import CLASSIFICATION, REGRESSION
+from mlscout.plans.pruning import pruned_trees
 
 SEED = 123
 # Forest size, boosting rounds and boosting leaf size.
@@ -50,7 +49,7 @@ GRIDS: dict[str, dict[str, tuple[float, float, str]]] = {
     "xgboost": {"learn_rate": (0.003, 0.3, "log"), "depth": (2, 8, "int")},
     "kernlab": {"cost": (2.0**-5, 2.0**5, "log")},
     "kknn": {"k": (1, 15, "int")},
-    "rpart": {"min_gain": (1e-5, 1e-1, "log"), "depth": (2, 10, "int")},
+    "rpart": {"cp": (1e-5, 1e-1, "log"), "depth": (2, 10, "int")},
 }
 
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -59,7 +58,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "xgboost": {"learn_rate": 0.1, "depth": 5, "trees": BOOST_ROUNDS, "min_n": BOOST_MIN_ROWS},
     "kernlab": {"cost": 1.0, "sigma": None, "n_features": 256},
     "kknn": {"k": 5},
-    "rpart": {"min_gain": 0.001, "depth": 8},
+    "rpart": {"cp": 0.01, "depth": 10},
 }
 
 
@@ -218,10 +217,17 @@ def svm_rbf(
     return Pipeline(stages=[kernel, machine, scale])
 
 
-def decision_tree(task_type: str, min_gain: float, depth: int) -> Estimator:
-    """``min_gain`` stands in for cost-complexity pruning."""
-    tree = DecisionTreeRegressor if task_type == REGRESSION else DecisionTreeClassifier
-    return tree(maxDepth=int(depth), minInfoGain=min_gain, seed=SEED)
+class PrunedTree:
+    """A decision tree cut back by its complexity; ``fit_all`` grows one tree for all settings."""
+
+    def __init__(self, task_type: str, params: dict[str, Any], n_inputs: int) -> None:
+        self.task_type, self.params, self.n_inputs = task_type, params, n_inputs
+
+    def fit(self, features: DataFrame) -> PipelineModel:
+        return self.fit_all(features, [self.params])[0]
+
+    def fit_all(self, features: DataFrame, settings: Sequence[dict[str, Any]]) -> list[PipelineModel]:
+        return pruned_trees(features, self.task_type, settings, self.n_inputs)
 
 
 def plain_linear(task_type: str) -> Estimator:
@@ -261,7 +267,7 @@ def make_estimator(
 
         return NeighbourVote(task_type, int(p["k"]), n_classes)
     if engine == "rpart":
-        return decision_tree(task_type, p["min_gain"], p["depth"])
+        return PrunedTree(task_type, p, n_inputs)
     if engine == "naivebayes":
         return NaiveBayes(modelType="gaussian")
     return plain_linear(task_type)
@@ -293,7 +299,7 @@ def class_probability(scored: DataFrame, engine: str, n_classes: int) -> Column:
 
 __all__ = [
     "CLASSIFICATION", "DEFAULTS", "GRIDS", "RandomFourierFeatures", "TREE_ENGINES",
-    "boosted_trees", "check_engine", "class_probability", "decision_tree", "has_tunables",
+    "PrunedTree", "boosted_trees", "check_engine", "class_probability", "has_tunables",
     "lasso_multinomial", "lasso_regression", "make_estimator", "plain_linear", "random_forest",
     "svm_rbf", "tuning_grid",
 ]

@@ -28,6 +28,7 @@ from mlscout.operators.task import CLASSIFICATION, REGRESSION
 from mlscout.plans.estimators import (
     DEFAULTS,
     TREE_ENGINES,
+    PrunedTree,
     check_engine,
     class_probability,
     has_tunables,
@@ -35,6 +36,7 @@ from mlscout.plans.estimators import (
     tuning_grid,
 )
 from mlscout.plans.knn import NeighbourVoteModel
+from mlscout.plans.pruning import PrunedLeaves
 
 FOLDS = 5
 TRAIN_GRID = 10
@@ -199,11 +201,30 @@ def _fit(
     params: dict[str, Any],
     n_rows: int,
 ) -> FittedModel:
-    learner = make_estimator(
-        engine, task_type, params,
-        n_classes=max(len(levels), 2), n_inputs=len(recipe.features), n_rows=n_rows,
-    ).fit(features)
-    return FittedModel(recipe, learner, engine, task_type, target, levels, params)
+    return _fit_all(recipe, features, engine, task_type, target, levels, [params], n_rows)[0]
+
+
+def _fit_all(
+    recipe: FittedRecipe,
+    features: DataFrame,
+    engine: str,
+    task_type: str,
+    target: str,
+    levels: list[Any],
+    settings: Sequence[dict[str, Any]],
+    n_rows: int,
+) -> list[FittedModel]:
+    """A model per setting; an estimator that can learns all of them at once."""
+    sizes = {"n_classes": max(len(levels), 2), "n_inputs": len(recipe.features), "n_rows": n_rows}
+    makers = [make_estimator(engine, task_type, params, **sizes) for params in settings]
+    if isinstance(makers[0], PrunedTree):
+        learners = makers[0].fit_all(features, [m.params for m in makers])
+    else:
+        learners = [m.fit(features) for m in makers]
+    return [
+        FittedModel(recipe, learner, engine, task_type, target, levels, params)
+        for learner, params in zip(learners, settings)
+    ]
 
 
 def _features(
@@ -293,21 +314,29 @@ def _cross_validate(
                     _features(fitted, held, label, [target], False, sizes[fold]).persist(STORAGE),
                 )
 
-            def run(job: tuple[str, int, dict[str, Any]]) -> tuple[str, DataFrame | None]:
-                engine, i, params = job
+            def run(job: tuple[str, list[int]]) -> list[tuple[str, DataFrame | None]]:
+                engine, numbers = job
                 learn, check = cached[forms[engine]]
                 try:
-                    model = _fit(
-                        recipes[forms[engine], fold], learn, engine, task_type, target, levels, params, n_part
+                    models = _fit_all(
+                        recipes[forms[engine], fold], learn, engine, task_type, target, levels,
+                        [grids[engine][i] for i in numbers], n_part,
                     )
                 except Exception as error:
                     failed.setdefault(engine, error)
-                    return engine, None
-                return engine, model.score(check).withColumn("_config", F.lit(str(i)))
-
-            jobs = [(e, i, p) for e in forms for i, p in enumerate(grids[e])]
+                    return [(engine, None)]
+                return [
+                    (engine, m.score(check).withColumn("_config", F.lit(str(i)))) for i, m in zip(numbers, models)
+                ]
+
+            # the settings of a pruned tree come from one tree, others are learned one by one
+            jobs = [
+                (e, numbers)
+                for e in forms
+                for numbers in ([list(range(len(grids[e])))] if e == "rpart" else [[i] for i in range(len(grids[e]))])
+            ]
             with ThreadPoolExecutor(max_workers=parallelism) as pool:
-                scored = list(pool.map(run, jobs))
+                scored = [one for found in pool.map(run, jobs) for one in found]
             for engine in forms:
                 mine = [df for e, df in scored if e == engine]
                 if engine in failed or any(df is None for df in mine):
@@ -549,10 +578,13 @@ def importance(spark: SparkSession, model: FittedModel) -> DataFrame | None:
     """Native importance of all features that have any, largest first: impurity of trees,
     |coefficient| of linear learners."""
     learner = model.learner
-    if isinstance(learner, PipelineModel):
-        return None
     names = model.recipe.features
-    if hasattr(learner, "featureImportances"):
+    if isinstance(learner, PipelineModel):
+        last = learner.stages[-1]
+        if not isinstance(last, PrunedLeaves):
+            return None
+        scores = last.getOrDefault(last.importances)
+    elif hasattr(learner, "featureImportances"):
         scores = learner.featureImportances.toArray().tolist()
     elif hasattr(learner, "coefficientMatrix"):
         # one row per class: the strongest effect over the classes
