@@ -112,6 +112,22 @@ def _(spark, folder):
     return profile_top_values(lines(spark, folder))
 
 
+@query(
+    "profile_top_values_told",
+    # order keys have more values than are listed, and one column has none at all
+    "WITH v AS (SELECT 0 AS position, 'o_orderpriority' AS \"column\", o_orderpriority AS value, count(*) AS n FROM orders "
+    "GROUP BY ALL), k AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders) "
+    "SELECT position, \"column\", CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank, value, n FROM v "
+    "UNION ALL SELECT 1, 'order', NULL, 'too many values to show: ' || n, NULL FROM k "
+    "UNION ALL SELECT 2, 'nothing', NULL, 'no values', NULL",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "orders").selectExpr(
+        "o_orderpriority", "CAST(o_orderkey AS STRING) AS `order`", "CAST(NULL AS STRING) AS nothing"
+    )
+    return profile_top_values(rows, max_unique=1000)
+
+
 @query(
     "profile_avg_missing",
     f"WITH {LINES_SQL}, m AS ({MISSING}) SELECT round(avg(pct_missing), 4) AS avg_pct_missing, "

@@ -212,19 +212,34 @@ def profile_categorical(df: DataFrame, *, exact: bool = True) -> DataFrame:
 
 
 def profile_top_values(df: DataFrame, k: int = 5, max_unique: int = MAX_UNIQUE) -> DataFrame:
-    """The ``k`` most frequent values of each text column with at most ``max_unique`` values."""
+    """The ``k`` most frequent values of each text column with at most ``max_unique`` values.
+
+    Any other column has one row without rank, whose value says why: it has no values, or too
+    many, whose number is then given.
+    """
     names = columns_of(df, CATEGORICAL)
     if not names:
         raise ValueError("no categorical column")
     counts = value_counts(df, names)
     # both uses read n, so that they share one shuffle of the counts
-    sizes = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.sum("n").alias("rows"))
+    sizes = counts.groupBy("position", "column").agg(
+        F.count("*").alias("n_unique"), F.sum("n").alias("rows"), F.count("value").alias("n_values")
+    )
     allowed = sizes.filter((F.col("n_unique") <= max_unique) & (F.col("rows") > 0)).select("column")
-    return (
+    shown = (
         top_values(counts, k)
         .join(allowed, "column", "left_semi")
         .select("position", "column", "rank", "value", "n")
     )
+    many = F.concat(F.lit("too many values to show: "), F.col("n_unique").cast("string"))
+    told = sizes.filter((F.col("n_unique") > max_unique) | (F.col("n_values") == 0)).select(
+        "position",
+        "column",
+        F.lit(None).cast("int").alias("rank"),
+        F.when(F.col("n_values") == 0, F.lit("no values")).otherwise(many).alias("value"),
+        F.lit(None).cast("long").alias("n"),
+    )
+    return shown.unionByName(told)
 
 
 def avg_missing(missing_table: DataFrame) -> DataFrame:

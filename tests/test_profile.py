@@ -58,7 +58,10 @@ def test_categorical_counts_missing_as_a_value(spark):
     assert profile_categorical(df, exact=False).first().n_unique == 3
     top = profile_top_values(df)
     assert [(r["rank"], r.value, r.n) for r in top.orderBy("rank").collect()] == [(1, "b", 2), (2, "a", 1)]
-    assert profile_top_values(df, max_unique=2).count() == 0
+    # a column beyond the limit is told, not left out
+    told = profile_top_values(df, max_unique=2).collect()
+    assert [(r["column"], r["rank"], r["n"]) for r in told] == [(top.first()["column"], None, None)]
+    assert told[0]["value"].startswith("too many values to show: ")
 
 
 def test_ties_are_alphabetical(spark):
