@@ -7,8 +7,10 @@ source and the leading bits of the hash, the bucket in which the running sum cro
 budget is the boundary, and only that bucket is summed by the next bits, until the hash is
 used up. A pass shuffles one row per (source, bucket) and task, whatever the rows.
 
-Null texts have size 0, null sources are a source of their own (the last one), rows with
-equal ids have equal hashes and are taken together, a table without rows gives none.
+The hash is that of id and text, so rows with null or repeated ids are decided apart unless
+their texts are equal too; rows equal in both are taken together. Null texts have size 0, null
+sources are a source of their own (the last one), very long texts are counted whole, a table
+without rows gives none. Columns besides key, source, text and those to carry are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{column}`"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash52(key: Column) -> Column:
-    """52 bits of the MD5 of a key, the same in every engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 13), 16, 10).cast(
-        "long"
+def hash52(key: Column, text: Column) -> Column:
+    """52 bits of the MD5 of a key and a text, the same in every engine."""
+    empty = F.lit("")
+    both = F.concat(
+        F.coalesce(key.cast("string"), empty), F.lit(":"), F.md5(F.coalesce(text.cast("string"), empty))
     )
+    return F.conv(F.substring(F.md5(both), 1, 13), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Column, budget: float, max_epochs: int) -> DataFrame:
@@ -140,7 +144,8 @@ def mix(
         F.col("source").cast("string").alias("source"),
         *[F.col(f"`{c}`") for c in keep],
         word_count().alias("size"),
-    ).withColumn("_hash", hash52(F.col("doc_id")))
+        hash52(F.col(f"`{key}`"), F.col("text")).alias("_hash"),
+    )
     if not keep:
         slim = stored(slim, "mix")  # counted once, read by every pass
     narrow = slim.select("source", "size", "_hash")

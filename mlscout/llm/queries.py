@@ -130,7 +130,8 @@ QUERIES = {
 
 MIX_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT AS h,
+  SELECT doc_id, source,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS h,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 sizes AS (

@@ -464,6 +464,18 @@ def test_mix_edges(edge_docs, no_docs, edge_rows):
     assert mixing.mix(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_rows_without_ids_of_their_own_meet_their_target(spark, ids):
+    """A source whose rows all share one id, or have none, is no lump."""
+    rows = [(None if ids == "null" else 7, "big", " ".join([f"w{i}"] * (i % 9 + 4))) for i in range(200)]
+    rows += [(i, "other", sentence(i, 12)) for i in range(60)] + [(i, None, sentence(i, 9)) for i in range(60)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(found) == len(rows)
+    for source in ("big", "other", None):
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+
+
 def test_budgets_are_nested(edge_docs, spark, data):
     docs = real_docs(spark, data)
     few = {r.doc_id: r.copies for r in mixing.mix(docs, budget=0.3).collect()}
