@@ -260,35 +260,44 @@ def roc_auc_hand_till(
 ) -> DataFrame:
     """Hand and Till (2001): mean AUC over ordered class pairs.
 
-    ``probability`` is an array in the order of ``levels``. A row of class a is an event
-    of the pairs (a, b) and a non-event of the pairs (b, a), so it is written
-    2 (K - 1) times; rows are never paired with each other.
+    ``probability`` is an array in the order of ``levels``. Each of the K scores orders all
+    rows once: from the counts of (score, class) and one running count of the score's own
+    class, the areas against all other classes follow, one sum per class. Rows are neither
+    paired nor written per pair of classes.
     """
     known = F.array(*[F.lit(v) for v in levels])
     own = F.array_position(known, column(y)) - 1
-    entries = []
-    for b in range(len(levels)):
-        entries.append(
-            F.struct(
-                F.col("_a").cast("int").alias("i"), F.lit(b).alias("j"),
-                F.get("_p", F.col("_a").cast("int")).alias("score"), F.lit(True).alias("event"),
-            )
-        )
-        entries.append(
-            F.struct(
-                F.lit(b).alias("i"), F.col("_a").cast("int").alias("j"),
-                F.get("_p", F.lit(b)).alias("score"), F.lit(False).alias("event"),
-            )
-        )
-    pairs = (
+    scores = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.get("_p", F.lit(i)).alias("score")) for i in range(len(levels))]
+    )
+    counts = (
         _complete(df, y)
-        .select(*by, own.alias("_a"), column(probability).alias("_p"))
-        .filter("_a >= 0 AND _p IS NOT NULL")
-        .select(*by, F.inline(F.array(*entries)))
-        .filter("i <> j")
+        .select(*by, own.cast("int").alias("j"), column(probability).alias("_p"))
+        .filter("j >= 0 AND _p IS NOT NULL")
+        .select(*by, "j", F.inline(scores))
+        .groupBy(*by, "i", "score", "j")
+        .agg(F.count("*").cast("double").alias("n"))
+    )
+    # a score has a row with at most K classes in it
+    steps = counts.groupBy(*by, "i", "score").agg(
+        F.coalesce(F.sum(F.when(F.col("j") == F.col("i"), F.col("n"))), F.lit(0.0)).alias("events"),
+        F.collect_list(F.struct("j", "n")).alias("classes"),
+    )
+    placed = prefix_sums(
+        steps, [*by, "i"], "score", ["events"], max_group_rows=max_group_rows, group_rows=group_rows
+    )
+    # events below a row, ties half: what the events above it leave of all pairs
+    below = F.col("events_before") + F.col("events") / 2
+    sums = (
+        placed.select(*by, "i", below.alias("below"), F.inline("classes"))
+        .groupBy(*by, "i", "j")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("below")).alias("lost"))
     )
-    each = _rank_sum(pairs, [*by, "i", "j"], max_group_rows, group_rows)
-    wide = each.groupBy(*by).agg(F.avg("auc").alias("auc"))
+    # at most K rows share a score; a class without rows has no areas
+    own_events = F.max(F.when(F.col("i") == F.col("j"), F.col("n"))).over(Window.partitionBy(*by, "i"))
+    each = sums.withColumn("events", own_events).filter("i <> j")
+    area = 1 - F.col("lost") / (F.col("n") * F.col("events"))
+    wide = each.groupBy(*by).agg(F.avg(area).alias("auc"))
     return _long(wide, by, [("roc_auc", "multiclass", F.col("auc"))])
 
 

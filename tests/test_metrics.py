@@ -78,6 +78,12 @@ def test_hand_till_against_brute_force(spark):
     for limit in (10**6, 3):
         found = _value(M.roc_auc_hand_till(df, "y", "p", levels, max_group_rows=limit))
         assert found == pytest.approx(sum(parts) / len(parts))
+    # a class that no row has leaves the others alone, and a null group is a group
+    more = df.withColumn("g", F.when(F.rand(3) < 2, F.lit(None).cast("string")))
+    found = M.roc_auc_hand_till(more, "y", "p", [*levels, "none"], ["g"]).collect()
+    assert [(r["g"], r["estimate"]) for r in found] == [(None, pytest.approx(sum(parts) / len(parts)))]
+    plan = M.roc_auc_hand_till(df, "y", "p", levels, group_rows=60)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2  # one order per score, one look-up of K rows
 
 
 def test_confusion_sums_to_n_and_missing_rows_do_not_count(spark):
