@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,29 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut in columnar form.
-
-    What comes after reads the table, so the shuffles behind it are not kept on the disks.
-    """
-    spark = df.sparkSession
-    folder = shared_folder(spark, label)
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffle files when the table is there."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(folder)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lineage cut in columnar form.
+
+    What comes after reads the table, so the shuffles behind it are not kept on the disks.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, label)
+    with shuffles_dropped(spark):
+        df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -50,6 +58,16 @@ def apart(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def spread_evenly(df: DataFrame, n_rows: int, *columns: str) -> DataFrame:
+    """Deal out rows that are small but stand for much work, in a number of tasks that stays.
+
+    Spark folds partitions together by their bytes, which for paths or ranges says nothing.
+    Each row is a task while the rows are few, and some sixteen share one beyond that.
+    """
+    few = 8 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(n_rows, max(few, n_rows // 16))), *columns)
+
+
 def utf8_text(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 

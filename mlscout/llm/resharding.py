@@ -8,8 +8,9 @@ its size does not depend on the rows. Within an old shard rows are laid out by a
 of their sizes, large rows first, and cut where the flow says: what stays comes first, then
 the blocks for each receiving shard. Cuts then fall between small rows.
 
-A row without an old shard is refused. Null texts weigh the fixed overhead alone; repeated rows are rows of their own; an empty
-table gives no rows.
+A row without an old shard is refused. Null texts weigh the fixed overhead alone; repeated
+rows are rows of their own; a very long text is one row and moves whole; an empty table gives
+no rows. Rows equal in id and text, null ids included, share a range of the layout.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlscout.llm.common import shared_folder, stored
+from mlscout.llm.common import shared_folder, shuffles_dropped, stored
 
 ROW_BYTES = 8
+PLACEMENT = ("doc_id", "size", "old_shard", "shard", "slot")
 RANGES = 256  # parts of a size class in a shard's layout; a task numbers the rows of one
 
 
@@ -87,29 +89,44 @@ def even_capacities(total: int, shards: int) -> dict[int, int]:
     return {s: total // shards + (s < total % shards) for s in range(shards)}
 
 
-def reshard(
-    df: DataFrame, old_shard: Column, capacities: dict[int, int] | int, key: str = "doc_id"
-) -> DataFrame:
-    """Per row (doc_id, size, old_shard, shard, slot); texts do not travel.
-
-    ``capacities`` are bytes by new shard, or a number of shards of equal bytes. Slots count
-    from 0 without gaps in the order of the layout. A row goes where its middle byte lies.
-    """
+def _rows(df: DataFrame, old_shard: Column, key: str, carry: list[str]) -> DataFrame:
     rows = df.select(
         F.col(f"`{key}`").cast("long").alias("doc_id"),
         row_size().alias("size"),
         old_shard.cast("int").alias("old_shard"),
         F.xxhash64(F.col(f"`{key}`"), F.col("text")).alias("_h"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")] if carry else []),
     )
     # large rows first: the class orders by powers of two, the hash spreads within
     rows = rows.withColumn("_class", (63 - F.floor(F.log2("size"))).cast("int"))
-    rows = stored(
-        rows.withColumn("_range", F.col("_class") * RANGES + F.pmod("_h", F.lit(RANGES))),
-        "reshard",
+    return rows.withColumn("_range", F.col("_class") * RANGES + F.pmod("_h", F.lit(RANGES))).drop("_class")
+
+
+def _with_shard(rows: DataFrame, starts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Each row's middle byte in its old shard, and the new shard whose piece holds it."""
+    within = Window.partitionBy("old_shard", "_range").orderBy("_h", "doc_id", "size")
+    placed = rows.join(starts, ["old_shard", "_range"]).withColumn(
+        "_middle",
+        F.col("_start")
+        + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
+        - F.ceil(F.col("size") / 2),
     )
-    by_range = Window.partitionBy("old_shard").orderBy("_range")
-    # one row per old shard and range, however many rows there are
-    ranges = rows.groupBy("old_shard", "_range").agg(F.sum("size").alias("_bytes"))
+    found = (
+        (F.col("old_shard") == F.col("_old"))
+        & (F.col("_middle") >= F.col("_from"))
+        & (F.col("_middle") < F.col("_to"))
+    )
+    return placed.join(F.broadcast(pieces), found).drop("_old", "_from", "_to", "_start")
+
+
+def _layout(rows: DataFrame, capacities: dict[int, int] | int) -> tuple[DataFrame, DataFrame]:
+    """From the sizes alone: (old_shard, _range, _start, _first) and the pieces of the flow.
+
+    One row per old shard and range, however many rows there are; ``_first`` maps each shard
+    that takes from the range to the slot of the first row it takes.
+    """
+    small = stored(rows.drop("_row"), "sizes")
+    ranges = stored(small.groupBy("old_shard", "_range").agg(F.sum("size").alias("_bytes")), "ranges")
     sizes = {r[0]: r[1] for r in ranges.groupBy("old_shard").agg(F.sum("_bytes")).collect()}
     if None in sizes:
         raise ValueError("every row needs an old shard, but there are rows with none")
@@ -121,53 +138,92 @@ def reshard(
     ):
         cuts.append((old, new, begin.get(old, 0), begin.get(old, 0) + amount))
         begin[old] = begin.get(old, 0) + amount
-    spark = df.sparkSession
     # at most old shards + new shards pieces, as a flow of minimum cost is a forest
-    pieces = spark.createDataFrame(cuts, "_old int, shard int, _from bigint, _to bigint")
-    starts = ranges.withColumn("_start", F.sum("_bytes").over(by_range) - F.col("_bytes"))
-    within = Window.partitionBy("old_shard", "_range").orderBy("_h", "doc_id")
-    placed = rows.join(starts.drop("_bytes"), ["old_shard", "_range"]).withColumn(
-        "_middle",
-        F.col("_start")
-        + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-        - F.ceil(F.col("size") / 2),
-    )
-    placed = stored(
-        placed.join(
-            F.broadcast(pieces),
-            (F.col("old_shard") == F.col("_old"))
-            & (F.col("_middle") >= F.col("_from"))
-            & (F.col("_middle") < F.col("_to")),
-        ).select("doc_id", "size", "old_shard", "shard", "_range", "_middle"),
-        "reshard",
-    )
+    pieces = rows.sparkSession.createDataFrame(cuts, "_old int, shard int, _from bigint, _to bigint")
+    by_range = Window.partitionBy("old_shard").orderBy("_range")
+    starts = ranges.withColumn("_start", F.sum("_bytes").over(by_range) - F.col("_bytes")).drop("_bytes")
     # slots: rows of the new shard in earlier blocks, then the place within the block
-    blocks = placed.groupBy("shard", "old_shard", "_range").agg(F.count("*").alias("_n"))
+    blocks = _with_shard(small, starts, pieces).groupBy("shard", "old_shard", "_range").agg(
+        F.count("*").alias("_n")
+    )
     by_block = Window.partitionBy("shard").orderBy("old_shard", "_range")
-    offsets = blocks.withColumn("_first", F.sum("_n").over(by_block) - F.col("_n")).drop("_n")
+    offsets = blocks.withColumn("_first", F.sum("_n").over(by_block) - F.col("_n"))
+    taken = F.map_from_entries(F.collect_list(F.struct("shard", "_first"))).alias("_first")
+    firsts = offsets.groupBy("old_shard", "_range").agg(taken)
+    return stored(starts.join(firsts, ["old_shard", "_range"]), "layout"), pieces
+
+
+def _placed(rows: DataFrame, layout: DataFrame, pieces: DataFrame) -> DataFrame:
+    # both windows and the join are dealt by old shard and range, so rows travel once
     inside = Window.partitionBy("shard", "old_shard", "_range").orderBy("_middle")
-    return placed.join(offsets, ["shard", "old_shard", "_range"]).select(
-        "doc_id",
-        "size",
-        "old_shard",
-        "shard",
-        (F.col("_first") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
+    slot = F.element_at("_first", F.col("shard")) + F.row_number().over(inside) - 1
+    carried = ["_row"] if "_row" in rows.columns else []
+    return _with_shard(rows, layout, pieces).select(
+        "doc_id", "size", "old_shard", "shard", slot.cast("long").alias("slot"), *carried
     )
 
 
+def reshard(
+    df: DataFrame, old_shard: Column, capacities: dict[int, int] | int, key: str = "doc_id"
+) -> DataFrame:
+    """Per row (doc_id, size, old_shard, shard, slot); texts do not travel.
+
+    ``capacities`` are bytes by new shard, or a number of shards of equal bytes. Slots count
+    from 0 without gaps in the order of the layout. A row goes where its middle byte lies.
+    """
+    rows = _rows(df, old_shard, key, [])
+    return _placed(rows, *_layout(rows, capacities))
+
+
+def rewrite(
+    df: DataFrame,
+    old_shard: Column,
+    capacities: dict[int, int] | int,
+    folder: str,
+    *,
+    key: str = "doc_id",
+    everything: bool = False,
+) -> list[int]:
+    """:func:`reshard` and :func:`write_shards` at once; whole rows are shuffled a single time.
+
+    The layout is found from sizes alone. Columns of ``df`` named size, shard, slot or
+    old_shard give way to those of the placement.
+    """
+    rows = _rows(df, old_shard, key, df.columns)
+    layout, pieces = _layout(rows, capacities)
+    blocks = layout.select("old_shard", F.explode("_first").alias("shard", "_"))
+    names = _affected(blocks, everything)
+    placed = _placed(rows, layout, pieces).filter(F.col("shard").isin(names))
+    own = [F.col(f"_row.`{c}`") for c in df.columns if c not in (*PLACEMENT, key)]
+    _save(placed.select(*PLACEMENT, *own), folder)
+    return names
+
+
+def _affected(placed: DataFrame, everything: bool) -> list[int]:
+    chosen = placed if everything else placed.filter("old_shard <> shard")
+    shards = chosen.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+    return sorted(r[0] for r in shards.collect())  # at most old + new shards
+
+
+def _save(rows: DataFrame, folder: str) -> None:
+    with shuffles_dropped(rows.sparkSession):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "shard"
+        ).parquet(folder)
+
+
 def write_shards(
     df: DataFrame, placed: DataFrame, folder: str, *, key: str = "doc_id", everything: bool = False
 ) -> list[int]:
     """Write the files of the shards whose rows changed and return those shards.
 
-    ``placed`` is :func:`reshard`'s result for the rows of ``df``. A shard that neither gives
+    ``placed`` is :func:`reshard`'s result for the rows of ``df``, joined by id; :func:`rewrite`
+    does both without that join. A shard that neither gives
     nor takes a row keeps its files, as only affected partitions are overwritten;
     ``everything`` writes all, for a folder without files.
     """
-    chosen = placed if everything else placed.filter("old_shard <> shard")
-    affected = chosen.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    names = sorted(r[0] for r in affected.collect())  # at most old + new shards
-    own = [c for c in df.columns if c not in ("old_shard", "shard", "slot", "size", key)]
+    names = _affected(placed, everything)
+    own = [c for c in df.columns if c not in (*PLACEMENT, key)]
     # repeated rows are told apart by a number, so that the join keeps their count
     body = df.select(F.col(f"`{key}`").cast("long").alias("_id"), *[F.col(f"`{c}`") for c in own])
     same = Window.partitionBy("_id").orderBy(F.octet_length("text"))
@@ -178,16 +234,15 @@ def write_shards(
     rows = rows.join(body, match).drop("_id", "_copy")
     # the shard and a range of slots deal the rows out, so that a shard is several files
     rows = rows.repartition("shard", F.floor(F.col("slot") / 5_000))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(
-        folder
-    )
+    _save(rows, folder)
     return names
 
 
 def rewritten(df: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     """Reshard, write every shard to a new folder and return the files' rows."""
-    placed = stored(reshard(df, old_shard, shards), "reshard")
     folder = shared_folder(df.sparkSession, "shards")
-    if not write_shards(df, placed, folder, everything=True):
-        return placed.withColumn("text", F.lit(None).cast("string"))  # no rows, no files
+    if not rewrite(df, old_shard, shards, folder, everything=True):
+        empty = df.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+        kinds = {"size": "long", "old_shard": "int", "shard": "int", "slot": "long"}
+        return empty.select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
     return df.sparkSession.read.parquet(folder)
