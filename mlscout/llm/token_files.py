@@ -2,32 +2,39 @@
 
 A table is range-partitioned by document id; each partition writes one pair of files in the
 shared folder. ``<name>.arrow`` holds sequences of one length (``ids``: fixed-size list of
-uint32, ``mask``: fixed-size list of uint8, 0 on the padding of a file's last sequence), so
-sequence i is a slice of one buffer and is reached without decoding what lies before it.
-``<name>.docs.arrow`` holds (doc_id, start, n_tokens) in id order. The task returns one
-manifest row; files of failed or repeated attempts have other names and are never read.
-
-Null and empty texts have the end id alone. Repeated rows are written once each. A table
-without rows writes no tokens.
+uint16, or of uint32 for a vocabulary beyond 65,536; ``mask``: fixed-size list of bits, 0 on
+the padding of a file's last sequence), so sequence i is a slice of one buffer and is reached
+without decoding what lies before it. ``<name>.docs.arrow`` holds (doc_id, start, n_tokens)
+in id order. The task returns one manifest row; files of failed or repeated attempts have
+other names and are never read.
+
+Null and empty texts have the end id alone. Repeated rows are written once each, and rows of
+one id (or of none) are ordered by a hash of their text, so that they need not be one file. A
+very long text is held whole by one task. Other columns, whatever their names, are not read.
+A table without rows writes no tokens.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlscout.llm.common import Memo, byte_rows, file_system, shared_folder, stored
+from mlscout.llm.common import Memo, byte_rows, file_system, groups_of, shared_folder, spread_evenly, stored
 
 SEQUENCE = 2048
 WORDS = 1_000_000  # that a Python worker remembers, in some 150 MB
 SEQUENCES_PER_BATCH = 256
+PROBE = "An ox, it's 2 \u00e9t\u00e9 ON \u6f22\u5b57 end.".encode()  # tries how a tokenizer treats blanks
 DOCS_PER_BATCH = 4096
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
@@ -36,7 +43,7 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space, word by word.
 
     Such a tokenizer never joins characters across white space, so the ids of a text are
-    those of its words; frequent words are remembered.
+    those of its words; frequent words are remembered. Others are refused.
     """
 
     _made: dict[str, WordTokenizer] = {}
@@ -46,7 +53,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.word = Memo(self._ids, WORDS)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        if not self._drops_blanks():
+            raise ValueError(f"{path} keeps white space, so its words cannot be encoded apart")
+        # capitals can be folded before a word is looked up if the tokenizer folds them itself
+        self.folds = self._raw(PROBE.lower()) == self._raw(PROBE) and self._lower_cases()
+        self.words: Memo = Memo(self._raw, WORDS)
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -54,24 +66,41 @@ class WordTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, word: bytes) -> bytes:
+    def _raw(self, word: bytes) -> bytes:
         found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
-        return np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()  # at the six ASCII blanks; other white space stays inside
-        known = self.word
-        new = [w for w in set(words) if w not in known and w not in known.older]
-        if len(new) > 8:
+        return array(self.kind.char, found.ids).tobytes()
+
+    def _drops_blanks(self) -> bool:
+        """Whether blanks of each kind, before, between and after words, leave no trace."""
+        apart = b"".join(map(self._raw, PROBE.split()))
+        blanks = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"  ", b" \n\n "]
+        return all(self._raw(x + x.join(PROBE.split()) + x) == apart for x in blanks)
+
+    def _lower_cases(self) -> bool:
+        """Whether lower-casing is a step of the tokenizer's own normaliser."""
+        normaliser = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        steps = normaliser.get("normalizers", [normaliser])
+        return any(x.get("type") == "Lowercase" for x in steps)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; words not met before are encoded together."""
+        known = self.words
+        # at the six ASCII blanks; other white space stays inside a word
+        split = [(t.lower() if self.folds and t.isascii() else t).split() for t in texts]
+        new = [w for w in set().union(*split) if w not in known and w not in known.older]
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
             found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
+                [w.decode("utf-8", "replace") for w in some], add_special_tokens=False
             )
-            known.remember({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)})
-        return b"".join(map(known.__getitem__, words))
+            code = self.kind.char
+            known.remember({w: array(code, e.ids).tobytes() for w, e in zip(some, found)})
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), self.kind) for ws in split]
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:
+    number = pa.from_numpy_dtype(kind)
+    return pa.schema([("ids", pa.list_(number, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -80,13 +109,13 @@ DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_token
 class PairWriter:
     """Writes one pair of files; memory is bounded by a batch of sequences and one document."""
 
-    def __init__(self, folder: str, length: int):
+    def __init__(self, folder: str, length: int, kind: np.dtype):
         self.path = f"{folder}/{uuid.uuid4().hex}"
-        self.length = length
+        self.length, self.kind = length, kind
         system, inner = file_system(self.path)
         system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         self.sinks = [system.open_output_stream(inner + end) for end in (".arrow", ".docs.arrow")]
-        self.sequences = pa.ipc.new_file(self.sinks[0], sequence_schema(length))
+        self.sequences = pa.ipc.new_file(self.sinks[0], sequence_schema(length, kind))
         self.docs = pa.ipc.new_file(self.sinks[1], DOC_SCHEMA)
         self.held: list[np.ndarray] = []
         self.n_held = self.total = self.n_docs = 0
@@ -104,16 +133,16 @@ class PairWriter:
             self._docs()
 
     def _sequences(self, last: bool) -> None:
-        flat = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        flat = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
         # batches within a file have equal length, so that a place tells its batch
         step = self.length * (1 if last else SEQUENCES_PER_BATCH)
         full = len(flat) // step * step
         body, rest = flat[:full], flat[full:]
-        mask = np.ones(full, np.uint8)
+        mask = np.ones(full, bool)
         if last and len(rest):
             gap = self.length - len(rest)
-            body = np.concatenate([body, rest, np.zeros(gap, np.uint32)])
-            mask = np.concatenate([mask, np.ones(len(rest), np.uint8), np.zeros(gap, np.uint8)])
+            body = np.concatenate([body, rest, np.zeros(gap, self.kind)])
+            mask = np.concatenate([mask, np.ones(len(rest), bool), np.zeros(gap, bool)])
             rest = rest[:0]
         self.held, self.n_held = [rest.copy()], len(rest)
         step = self.length * SEQUENCES_PER_BATCH
@@ -123,7 +152,7 @@ class PairWriter:
                 for x in (body, mask)
             ]
             self.sequences.write_batch(
-                pa.RecordBatch.from_arrays(lists, schema=sequence_schema(self.length))
+                pa.RecordBatch.from_arrays(lists, schema=sequence_schema(self.length, self.kind))
             )
 
     def _docs(self) -> None:
@@ -147,19 +176,20 @@ def write(
     Manifest: part (file order), path, n_docs, n_tokens. Only texts are shuffled, once.
     """
     folder = shared_folder(df.sparkSession, "tokens")
-    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.of(tokenizer)
+        kind = words.kind if end_id <= np.iinfo(words.kind).max else np.dtype("<u4")
+        end = np.array([end_id], kind)
         writer = part = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                for doc_id, raw, part in zip(
-                    some.column(0).to_pylist(), byte_rows(some.column(1)), some.column(2).to_pylist()
-                ):
-                    writer = writer or PairWriter(folder, length)
-                    ids = np.frombuffer(words.encode(raw), np.uint32)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
+            for a, b in groups_of(sizes.to_pylist()):
+                some = batch.slice(a, b - a)
+                part = some.column(2)[0].as_py()
+                writer = writer or PairWriter(folder, length, kind)
+                found = words.encode(byte_rows(some.column(1)))
+                for doc_id, ids in zip(some.column(0).to_pylist(), found):
                     writer.add(doc_id, np.concatenate([ids, end]))
         if writer:
             writer.close()
@@ -172,7 +202,8 @@ def write(
     rows = df.select(
         F.col(f"`{key}`").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    spread = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    spread = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
     numbered = spread.withColumn("part", F.spark_partition_id())
     return stored(numbered.mapInArrow(run, MANIFEST), "manifest")
 
@@ -212,13 +243,14 @@ class SequenceFile:
                 raise EOFError("the file ends before the tokens asked for")
             parts.append(part)
             start, n = start + len(part), n - len(part)
-        return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint16)])
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, as views of the file."""
+        """Ids of sequence i, a view of the file, and its mask, unpacked from bits."""
         batch, row = divmod(i, self.per_batch)
         found = self.reader.get_batch(batch)
-        return tuple(found.column(c)[row].values.to_numpy() for c in (0, 1))
+        ids, mask = (found.column(c)[row].values for c in (0, 1))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -248,6 +280,6 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    # one file per task: deal the manifest out by path
-    dealt = with_offsets(manifest).repartition("path")
+    # a few files per task: rows of paths are too small for Spark to tell how many tasks to use
+    dealt = spread_evenly(with_offsets(manifest), manifest.count(), "path")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

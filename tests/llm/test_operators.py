@@ -234,6 +234,43 @@ def test_rewrite_touches_affected_shards_only(spark, edge_docs, tmp_path):
     assert resharding.write_shards(docs, same, str(tmp_path / "t")) == []
 
 
+def test_rewrite_in_one_shuffle_equals_placement_and_join(spark, edge_docs, tmp_path):
+    docs, old = edge_docs, F.when(F.col("doc_id") < 5, 0).otherwise(1)
+    placed = resharding.reshard(docs, old, 3)
+    names = resharding.rewrite(docs, old, 3, str(tmp_path / "one"), everything=True)
+    assert names == resharding.write_shards(docs, placed, str(tmp_path / "two"), everything=True)
+    one, two = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "two"))
+    assert sorted(one.columns) == sorted(two.columns)
+    place = lambda df: sorted((r.doc_id or -1, r.size, r.shard, r.slot) for r in df.collect())
+    assert place(one) == place(two) == place(placed)
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert texts(one) == texts(docs)
+    bare = docs.select("doc_id", "text")
+    total = placed.agg(F.sum("size")).first()[0]
+    assert resharding.rewrite(bare, F.lit(0), {0: total}, str(tmp_path / "none")) == []
+
+
+def test_hot_null_ids_are_split_between_files(spark):
+    docs = spark.range(400).selectExpr("CAST(NULL AS long) AS doc_id", "repeat(concat('w', id, ' '), 50) AS text")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write(docs, WORD_BPE)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    n_files = manifest.count()
+    assert n_files > 1
+    read = token_files.read_documents(manifest)
+    assert read.rdd.getNumPartitions() == n_files  # small manifest rows are not folded together
+    rows = sorted((r.start, r.n_tokens) for r in read.collect())
+    assert len(rows) == 400 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
+
+
+def test_tokenizer_that_keeps_white_space_is_refused():
+    with pytest.raises(ValueError, match="white space"):
+        token_files.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # 5 archives
 
 
