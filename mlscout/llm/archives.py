@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlscout.llm.common import byte_rows, file_system, groups_of, shared_folder, stored
+from mlscout.llm.common import byte_rows, file_system, groups_of, shared_folder, spread_evenly, stored
 
 ARCHIVE_BYTES = 16 << 20  # payload after which a task begins another archive
 RECORDS_PER_READ = 500  # index lines that one reading row stands for
@@ -286,7 +286,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     schema = (
         "page_id long, url string, record_type string, digest string, refers_to long, payload binary"
     )
-    return ranges.repartition("path", "first").mapInArrow(run, schema)
+    n_ranges = manifest.agg(F.sum(F.ceil(F.col("n_records") / RECORDS_PER_READ))).first()[0] or 0
+    return spread_evenly(ranges, int(n_ranges), "path", "first").mapInArrow(run, schema)
 
 
 def _page(urn: str) -> int | None:
