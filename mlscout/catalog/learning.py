@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mlscout.catalog.fixtures import hash_sql, rounded, table
 from mlscout.functions.hashing import HASH_RANGE, row_hash
 from mlscout.operators.bayes import gaussian_nb, gaussian_nb_predict
-from mlscout.operators.neighbours import nearest_neighbours
+from mlscout.operators.neighbours import kernel_weight, nearest_neighbours
 from mlscout.plans.estimators import plain_linear
 from mlscout.plans.findings import explain, report_lines
 from mlscout.plans.knn import NeighbourVote
@@ -161,6 +161,54 @@ def _(spark, folder):
     return scored.select("vec_id", F.col("prediction").cast("int").alias("prediction"))
 
 
+# neighbour k + 1 = 8 scales the distances of the seven that count
+SCALED = (
+    f"e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, {hash_sql('vec_id', 123)} < {CUT} AS train FROM embeddings), "
+    "d AS (SELECT a.vec_id, b.vec_id AS key, b.label, len(b.x)::DOUBLE AS p, list_distance(a.x, b.x) AS dist FROM e a "
+    "JOIN e b ON NOT a.train AND b.train), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, key) "
+    "AS rank FROM d), u AS (SELECT *, least(greatest(dist / greatest(max(dist) OVER (PARTITION BY vec_id), 1e-6), 1e-6), "
+    "1 - 1e-6) AS u FROM r WHERE rank <= 8), n AS (SELECT * FROM u WHERE rank <= 7)"
+)
+WEIGHTS = {
+    "optimal": "(1 + p / 2 - p / (2 * 7 ** (2 / p)) * (rank ** (1 + 2 / p) - (rank - 1) ** (1 + 2 / p))) / 7",
+    "triangular": "1 - u",
+    "triweight": "35 / 32 * (1 - u * u) ** 3",
+    "inv": "1 / u",
+}
+
+
+def _parted(spark, folder):
+    rows = _points(spark, folder).withColumn("train", row_hash(["vec_id"], 123) < CUT)
+    return rows.filter("train"), rows.filter("NOT train")
+
+
+@query(
+    "knn_kernel_weights",
+    f"WITH {SCALED} SELECT vec_id, CAST(rank AS INTEGER) AS rank, key, "
+    + ", ".join(f"round({weight}, 6) AS {name}" for name, weight in WEIGHTS.items())
+    + " FROM n",
+)
+def _(spark, folder):
+    near, asked = _parted(spark, folder)
+    found = nearest_neighbours(near.select(F.col("vec_id").alias("key"), "point"), asked, 8)
+    weights = [kernel_weight(7, kernel).alias(kernel) for kernel in WEIGHTS]
+    weighted = found.select("point", "rank", "key", *weights).filter("rank <= 7")
+    return rounded(asked.select("vec_id", "point").join(weighted, "point").drop("point"))
+
+
+@query(
+    "knn_weighted_mean",
+    f"WITH {SCALED} SELECT vec_id, round(sum((1 - u) * label) / sum(1 - u), 6) AS prediction FROM n GROUP BY 1",
+)
+def _(spark, folder):
+    near, asked = (
+        x.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector("point").alias("features"))
+        for x in _parted(spark, folder)
+    )
+    scored = NeighbourVote("regression", 7, 0, "triangular").fit(near).transform(asked.drop("label"))
+    return rounded(scored.select("vec_id", "prediction"))
+
+
 # -- trained models -----------------------------------------------------------
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]

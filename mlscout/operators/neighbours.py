@@ -10,10 +10,11 @@ per test point merges them. Copies of a point are collapsed first.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlscout.session import cut_lineage
@@ -23,6 +24,62 @@ MAX_PIVOTS = 512
 POINTS_PER_PIVOT = 10_000
 STORED_ROWS = 1_000_000  # beyond it, intermediate rows are written instead of recomputed
 SEED = 123
+NEAREST, FARTHEST = 1e-6, 1 - 1e-6  # scaled distances are held between these
+
+
+def _optimal(u: Column, rank: Column, size: Column, k: int) -> Column:
+    """Samworth's weights of least asymptotic error, by rank and number of dimensions."""
+    step = 1 + 2 / size
+    fall = size / (2 * F.pow(F.lit(float(k)), 2 / size))
+    return (1 + size / 2 - fall * (F.pow(rank, step) - F.pow(rank - 1, step))) / k
+
+
+def _gaussian(u: Column, rank: Column, size: Column, k: int) -> Column:
+    """The normal density, scaled so that neighbour k + 1 lies at its 1 / (2k + 2) quantile."""
+    edge = NormalDist().inv_cdf(1 / (2 * (k + 1)))
+    return F.exp(-F.pow(u * edge, 2) / 2) / math.sqrt(2 * math.pi)
+
+
+#: Weight of a neighbour from its distance as a share of that of neighbour k + 1, its rank,
+#: the number of dimensions and k.
+KERNELS: dict[str, Callable[[Column, Column, Column, int], Column]] = {
+    "rectangular": lambda u, rank, size, k: F.lit(1.0),
+    "triangular": lambda u, rank, size, k: 1 - u,
+    "epanechnikov": lambda u, rank, size, k: 0.75 * (1 - u * u),
+    "biweight": lambda u, rank, size, k: 15 / 16 * F.pow(1 - u * u, F.lit(2.0)),
+    "triweight": lambda u, rank, size, k: 35 / 32 * F.pow(1 - u * u, F.lit(3.0)),
+    "cos": lambda u, rank, size, k: math.pi / 4 * F.cos(u * math.pi / 2),
+    "inv": lambda u, rank, size, k: 1 / u,
+    "gaussian": _gaussian,
+    "rank": lambda u, rank, size, k: (k + 1 - rank).cast("double"),
+    "optimal": _optimal,
+}
+
+
+def kernel_weight(k: int, kernel: str) -> Column:
+    """Weight of the k nearest in a table of :func:`nearest_neighbours` for k + 1, else null.
+
+    Neighbour k + 1 scales the distances; with fewer points the last one does. Where all
+    distances are 0 every neighbour is as near as can be. Weights are above 0, and they need
+    no shuffle, as they are dealt by point like the ranks before them.
+    """
+    if kernel not in KERNELS:
+        raise ValueError(f"no kernel {kernel!r}; there are {', '.join(KERNELS)}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    reach = F.greatest(F.max("distance").over(Window.partitionBy("point")), F.lit(NEAREST))
+    scaled = F.least(F.greatest(F.col("distance") / reach, F.lit(NEAREST)), F.lit(FARTHEST))
+    weight = KERNELS[kernel](scaled, F.col("rank"), F.size("point").cast("double"), k)
+    return F.when(F.col("rank") <= k, weight)
+
+
+def weighted_neighbours(
+    train: DataFrame, test: DataFrame, k: int, kernel: str = "optimal", **options: int
+) -> DataFrame:
+    """:func:`nearest_neighbours` with a ``weight`` for each of the k."""
+    weight = kernel_weight(k, kernel)
+    found = nearest_neighbours(train, test, k + 1, **options)
+    return found.withColumn("weight", weight).filter(F.col("weight").isNotNull())
 
 
 def nearest_neighbours(

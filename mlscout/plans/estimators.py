@@ -57,7 +57,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "ranger": {"mtry_share": 0.5, "min_n": 5, "trees": FOREST_TREES, "depth": 12},
     "xgboost": {"learn_rate": 0.1, "depth": 5, "trees": BOOST_ROUNDS, "min_n": BOOST_MIN_ROWS},
     "kernlab": {"cost": 1.0, "sigma": None, "n_features": 256},
-    "kknn": {"k": 5},
+    "kknn": {"k": 5, "weights": "optimal"},
     "rpart": {"cp": 0.01, "depth": 10},
 }
 
@@ -265,7 +265,7 @@ def make_estimator(
     if engine == "kknn":
         from mlscout.plans.knn import NeighbourVote
 
-        return NeighbourVote(task_type, int(p["k"]), n_classes)
+        return NeighbourVote(task_type, int(p["k"]), n_classes, p["weights"])
     if engine == "rpart":
         return PrunedTree(task_type, p, n_inputs)
     if engine == "naivebayes":

@@ -8,24 +8,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlscout.operators.neighbours import nearest_neighbours
+from mlscout.operators.neighbours import weighted_neighbours
 from mlscout.operators.task import REGRESSION
 
 
 @dataclass
 class NeighbourVote:
-    """Mean of, or vote among, the k nearest training rows (vote tie: first class)."""
+    """Weighted mean of, or vote among, the k nearest training rows (vote tie: first class)."""
 
     task_type: str
     k: int
     n_classes: int
+    kernel: str = "rectangular"
 
     def fit(self, features: DataFrame) -> NeighbourVoteModel:
         stored = features.select(
             F.col("label").cast("double").alias("label"),
             vector_to_array("features").alias("point"),
         )
-        return NeighbourVoteModel(self.task_type, self.k, self.n_classes, stored)
+        return NeighbourVoteModel(self.task_type, self.k, self.n_classes, stored, self.kernel)
 
 
 @dataclass
@@ -34,19 +35,20 @@ class NeighbourVoteModel:
     k: int
     n_classes: int
     train: DataFrame
+    kernel: str = "rectangular"
 
     def transform(self, features: DataFrame) -> DataFrame:
         """Neighbours are found once per distinct point and joined back to its rows."""
-        # copies of a (point, label) pair are numbered per pair: any k of them are enough
+        # copies of a (point, label) pair are numbered per pair: any k + 1 of them are enough
         keyed = self.train.select(
             F.xxhash64("point", "label").alias("key"), "point", "label"
         )
         copies = keyed.groupBy("key", "point", "label").agg(F.count("*").alias("n"))
         numbered = copies.withColumn(
-            "copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(self.k)).cast("int")))
+            "copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(self.k + 1)).cast("int")))
         ).select(F.struct("key", "copy", "label").alias("member"), "point")
         tagged = features.withColumn("_point", vector_to_array("features"))
-        found = nearest_neighbours(
+        found = weighted_neighbours(
             numbered.select(
                 F.concat_ws(
                     ":",
@@ -58,12 +60,15 @@ class NeighbourVoteModel:
             ),
             tagged.select(F.col("_point").alias("point")),
             self.k,
+            self.kernel,
         ).withColumn("label", F.substring_index("key", ":", -1).cast("double"))
         if self.task_type == REGRESSION:
-            votes = found.groupBy("point").agg(F.avg("label").alias("prediction"))
+            mean = F.sum(F.col("weight") * F.col("label")) / F.sum("weight")
+            votes = found.groupBy("point").agg(mean.alias("prediction"))
         else:
             shares = [
-                (F.count_if(F.col("label") == float(c)) / F.count("*")).alias(f"p{c}")
+                (F.sum(F.when(F.col("label") == float(c), F.col("weight")).otherwise(0.0)) / F.sum("weight"))
+                .alias(f"p{c}")
                 for c in range(self.n_classes)
             ]
             votes = (
@@ -82,6 +87,6 @@ class NeighbourVoteModel:
 
     @staticmethod
     def load(
-        spark: SparkSession, path: str, task_type: str, k: int, n_classes: int
+        spark: SparkSession, path: str, task_type: str, k: int, n_classes: int, kernel: str = "rectangular"
     ) -> NeighbourVoteModel:
-        return NeighbourVoteModel(task_type, k, n_classes, spark.read.parquet(path))
+        return NeighbourVoteModel(task_type, k, n_classes, spark.read.parquet(path), kernel)

@@ -737,8 +737,10 @@ def load_model(spark: SparkSession, path: str) -> FittedModel:
     about = json.loads(spark.read.text(f"{path}/about").first().value)
     levels, task_type = about["levels"], about["task_type"]
     if about["engine"] == "kknn":
+        params = about["params"]  # models saved before there were weights have plain votes
         learner: Any = NeighbourVoteModel.load(
-            spark, f"{path}/learner", task_type, int(about["params"]["k"]), max(len(levels), 2)
+            spark, f"{path}/learner", task_type, int(params["k"]), max(len(levels), 2),
+            params.get("weights", "rectangular"),
         )
     else:
         learner = PipelineModel.load(f"{path}/learner")

@@ -5,10 +5,11 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from mlscout.operators.neighbours import nearest_neighbours
+from mlscout.operators.neighbours import KERNELS, kernel_weight, nearest_neighbours, weighted_neighbours
 from mlscout.plans.estimators import GRIDS, make_estimator, tuning_grid
 from mlscout.operators.bayes import gaussian_nb, gaussian_nb_predict
 from mlscout.plans.findings import explain, importance_findings, next_steps, write_report
+from mlscout.plans.knn import NeighbourVote
 from mlscout.plans.train import compare, importance, load_model, permutation_importance, save_model, train
 from mlscout.plans.validate import validate
 from mlscout.sources.sinks import write_predictions
@@ -161,6 +162,49 @@ def test_neighbours_against_brute_force(spark, options):
     assert found == _brute(rows, [p for _, p in rows], 4)
 
 
+def test_kernel_weights_by_hand(spark):
+    by_hand = {
+        "rectangular": lambda u, j: 1.0, "triangular": lambda u, j: 1 - u,
+        "epanechnikov": lambda u, j: 0.75 * (1 - u**2), "biweight": lambda u, j: 15 / 16 * (1 - u**2) ** 2,
+        "triweight": lambda u, j: 35 / 32 * (1 - u**2) ** 3, "cos": lambda u, j: np.pi / 4 * np.cos(u * np.pi / 2),
+        "inv": lambda u, j: 1 / u, "rank": lambda u, j: 4.0 - j,
+        "gaussian": lambda u, j: np.exp(-((1.1503493803760079 * u) ** 2) / 2) / np.sqrt(2 * np.pi),
+        "optimal": lambda u, j: (2 - (j**2 - (j - 1) ** 2) / 3) / 3,  # two dimensions
+    }
+    train_df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(9)], "key int, point array<double>")
+    test_df = spark.createDataFrame([([-1.0, 0.0],)], "point array<double>")
+    found = nearest_neighbours(train_df, test_df, 4)  # neighbour 4 lies at distance 4
+    weighted = found.select("rank", "key", *[kernel_weight(3, x).alias(f"by_{x}") for x in KERNELS])
+    rows = weighted.filter("rank <= 3").orderBy("rank").collect()
+    assert [r.key for r in rows] == [0, 1, 2] and set(by_hand) == set(KERNELS)
+    for j, r in enumerate(rows, 1):
+        for kernel, weight in by_hand.items():
+            assert r[f"by_{kernel}"] == pytest.approx(weight(j / 4, j), rel=1e-9)
+
+
+@pytest.mark.parametrize("k", [1, 4, 9])  # fewer and more than there are
+def test_kernel_weights_stay_above_zero(spark, k):
+    rows = [(i, [0.0, 0.0]) for i in range(5)]  # all distances are 0, or all are equal
+    train_df = spark.createDataFrame(rows, "key int, point array<double>")
+    test_df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "point array<double>")
+    found = weighted_neighbours(train_df, test_df, k).select("*", *[kernel_weight(k, x).alias(f"by_{x}") for x in KERNELS])
+    rows = found.collect()
+    assert len(rows) == 2 * min(k, 5)
+    assert all(r[f"by_{x}"] > 0 and np.isfinite(r[f"by_{x}"]) for r in rows for x in KERNELS)
+    with pytest.raises(ValueError, match="no kernel"):
+        kernel_weight(2, "square")
+
+
+def test_near_rows_outvote_far_ones(spark):
+    rows = [(0.0, 0.0), (0.2, 0.0), (5.0, 1.0), (5.1, 1.0), (5.2, 1.0), (9.0, 1.0)]
+    points = spark.createDataFrame([(y, Vectors.dense([x])) for x, y in rows], ["label", "features"])
+    asked = spark.createDataFrame([(Vectors.dense([0.1]),)], ["features"])
+    for kernel, expected in (("rectangular", 1.0), ("triangular", 0.0)):
+        model = NeighbourVote("classification", 5, 2, kernel).fit(points)
+        row = model.transform(asked).first()
+        assert row.prediction == expected and sum(row.probability) == pytest.approx(1)
+
+
 def test_naive_bayes_leaves_missing_features_out(spark):
     rows = [("a", 0.0, 0.0), ("a", 1.0, 1.0), ("b", 10.0, 0.5), ("b", 11.0, float("nan")), ("b", 12.0, None)]
     df = spark.createDataFrame(rows, "c string, x double, y double")
