@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from mlscout.llm.common import byte_rows, file_system, groups_of, shared_folder, spread_evenly, stored
 
 ARCHIVE_BYTES = 16 << 20  # payload after which a task begins another archive
+KEEPERS = 500_000  # repeated payloads broadcast at most: a digest of 20 bytes and an id each
 RECORDS_PER_READ = 500  # index lines that one reading row stands for
 FULL = 0xFFFFFFFF
 #: Fixed values of the formats.
@@ -175,11 +176,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def duplicates(pages: DataFrame, min_bytes: int) -> DataFrame:
+def duplicates(pages: DataFrame, min_bytes: int, keepers: int = KEEPERS) -> DataFrame:
     """Pages with ``refers_to``: the page that holds an equal payload, null for responses.
 
-    The largest id of a payload is found by an aggregate, which combines before the shuffle;
-    the join that brings it back is split by Spark where one payload is very frequent.
+    The largest id of a payload is found by an aggregate, which combines before the shuffle.
+    Payloads that are there more than once are counted; up to ``keepers`` of them are sent to
+    all tasks, so that pages stay where they are. More are joined by a shuffle of the pages,
+    which Spark splits where one payload is very frequent.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -194,13 +197,20 @@ def duplicates(pages: DataFrame, min_bytes: int) -> DataFrame:
         .filter("_n > 1")
         .drop("_n")
     )
-    joined = rows.join(largest, "_sha", "left")
+    largest = stored(largest, "keepers")
+    few = largest.count() <= keepers
+    joined = rows.join(F.broadcast(largest) if few else largest.hint("merge"), "_sha", "left")
     other = known & F.col("_keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keeper"))
     return joined.select("page_id", "url", "text", F.when(other, F.col("_keeper")).alias("refers_to"))
 
 
 def write(
-    pages: DataFrame, *, min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES, zip64_from: int = FULL
+    pages: DataFrame,
+    *,
+    min_bytes: int = 1000,
+    archive_bytes: int = ARCHIVE_BYTES,
+    zip64_from: int = FULL,
+    keepers: int = KEEPERS,
 ) -> DataFrame:
     """Write archives to the shared folder and return the manifest (path, n_records)."""
     folder = shared_folder(pages.sparkSession, "warc")
@@ -240,7 +250,7 @@ def write(
                 ["path", "n_records"],
             )
 
-    rows = duplicates(pages, min_bytes)
+    rows = duplicates(pages, min_bytes, keepers)
     return stored(rows.mapInArrow(run, "path string, n_records long"), "manifest")
 
 

@@ -309,6 +309,19 @@ def test_zip_reader_reads_other_writers(tmp_path):
 # 6 token files
 
 
+def test_repeated_pages_by_broadcast_and_by_shuffle(spark):
+    rows = [(i, f"u{i}", ("same " * 300) if i % 3 else f"page {i // 2} " * 200) for i in range(40)]
+    pages = spark.createDataFrame([*rows, (None, None, None), (41, "u", "")], "page_id long, url string, html string")
+    found = [
+        Counter((r.page_id, r.refers_to) for r in archives.duplicates(pages, 1000, n).collect()) for n in (0, 100)
+    ]
+    largest = {}
+    for i, _, html in rows:
+        largest[html] = max(i, largest.get(html, i))
+    expected = Counter((i, None if largest[h] == i else largest[h]) for i, _, h in rows)
+    assert found[0] == found[1] == expected + Counter([(None, None), (41, None)])
+
+
 def test_token_files(spark, data, edge_docs, edge_rows, no_docs):
     library = Tokenizer.from_file(WORD_BPE)
     real = real_docs(spark, data)
