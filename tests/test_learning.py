@@ -6,11 +6,12 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from mlscout.operators.neighbours import KERNELS, kernel_weight, nearest_neighbours, weighted_neighbours
-from mlscout.plans.estimators import GRIDS, make_estimator, tuning_grid
+from mlscout.plans.estimators import GRIDS, RandomFourierFeatures, make_estimator, tuning_grid
 from mlscout.operators.bayes import gaussian_nb, gaussian_nb_predict
 from mlscout.plans.findings import explain, importance_findings, next_steps, write_report
 from mlscout.plans.knn import NeighbourVote
-from mlscout.plans.train import compare, importance, load_model, permutation_importance, save_model, train
+from mlscout.plans.train import _features, compare, importance, load_model, permutation_importance, save_model, train
+from mlscout.operators.recipe import Recipe
 from mlscout.plans.validate import validate
 from mlscout.sources.sinks import write_predictions
 
@@ -222,3 +223,23 @@ def test_importance_shares_are_of_all_features(spark):
     assert found.count() == 57
     top = importance_findings(found).filter("rank = 1").first()
     assert (top.item, top.value, top.band) == ("f00", 30.0, None)
+
+
+def test_fourier_map_goes_through_flat_buffers(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 4))
+    rows = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x)], ["id", "features"])
+    mapped = RandomFourierFeatures(inputCol="features", outputCol="out", gamma=0.25, size=8, seed=5).transform(
+        rows.repartition(3)
+    )
+    random = np.random.default_rng(5)
+    weights, shift = random.normal(0, np.sqrt(0.5), (4, 8)), random.uniform(0, 2 * np.pi, 8)
+    wanted = np.sqrt(2 / 8) * np.cos(x @ weights + shift)
+    got = {r.id: r.out.toArray() for r in mapped.collect()}
+    assert all(np.allclose(got[i], wanted[i], rtol=1e-12) for i in range(50))
+
+def test_few_rows_do_not_keep_many_tasks(spark):
+    # each of hundreds of short jobs pays for every task
+    rows = spark.range(0, 225_000, 1, 24).select("id", (F.col("id") % 2).cast("double").alias("x"))
+    fitted = Recipe("id", []).fit(rows)
+    assert _features(fitted, rows, F.col("x"), [], True, 225_000).rdd.getNumPartitions() == 9
