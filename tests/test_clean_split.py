@@ -1,10 +1,12 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mlscout.functions.hashing import row_hash
 from mlscout.operators.clean import (
     cap_iqr, clean, drop_missing_columns, drop_missing_rows, impute, oversample, undersample,
 )
-from mlscout.operators.split import assign_folds, split
+from mlscout.operators.split import FOLD_SEED, assign_folds, split
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +105,21 @@ def test_folds(lineitem):
     even = assign_folds(lineitem, 4, key, stratify="l_returnflag")
     for r in even.groupBy("l_returnflag").pivot("fold").count().collect():
         assert max(r[1:]) - min(r[1:]) <= 1
+
+
+def test_folds_are_dealt_in_hash_order_with_one_shuffle_of_rows(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("c"))
+    order = Window.partitionBy("c").orderBy(row_hash(["id"], FOLD_SEED))
+    wanted = rows.select("id", ((F.row_number().over(order) - 1) % 4).alias("wanted"))
+    for limit in (100, 1_000_000):
+        folded = assign_folds(rows, 4, "id", stratify="c", max_group_rows=limit)
+        assert folded.join(wanted, "id").filter("fold = wanted").count() == 3000
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3
+
+
+def test_folds_of_rows_that_share_a_key(spark):
+    rows = spark.range(2000).selectExpr("'one' AS k", "id % 2 AS c", "id % 50 AS x")
+    folded = assign_folds(rows, 5, "k", stratify="c", max_group_rows=30)
+    counts = folded.groupBy("c", "fold").count().collect()
+    assert len(counts) == 10 and {r["count"] for r in counts} == {200}

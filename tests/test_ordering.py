@@ -6,12 +6,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from mlscout.functions.hashing import row_hash
 from mlscout.functions.ordering import (
     exact_quantiles,
     lowest_per_group,
     mark_lowest,
     prefix_sums,
     replicate,
+    select_hashes,
 )
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -95,3 +97,30 @@ def test_replicate_spreads_many_copies(spark):
     out = replicate(df, F.col("n"), 250_001)
     assert {r.x: r["count"] for r in out.groupBy("x").count().collect()} == {"a": 3, "b": 250_001}
     assert out.columns == ["x", "n"]
+
+
+def test_sums_of_groups_known_to_be_large_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "id % 7 AS n").mapInPandas(seen, "id long, n long")
+    out = prefix_sums(rows, [], "id", ["n"], max_group_rows=100, group_rows=1000)
+    last = out.orderBy(F.desc("id")).first()
+    assert last.n_before == sum(i % 7 for i in range(999))
+    assert made.value == 1000
+
+
+def test_hash_ranks_equal_a_sort(spark):
+    rows = spark.range(5000).select(
+        (F.col("id") % 3).cast("int").alias("_g"), row_hash(["id"], 1).alias("_hash")
+    ).filter("_g < 2 OR _hash % 2 = 0")
+    rows = rows.unionByName(rows.filter("_g = 1"))
+    found = select_hashes(rows, {0: 17, 1: 1001, 2: 0})
+    for g, rank in ((0, 17), (1, 1001), (2, 0)):
+        values = sorted(r[0] for r in rows.filter(f"_g = {g}").select("_hash").collect())
+        value = values[rank]
+        assert found[g] == (value, values.index(value), values.count(value))
