@@ -243,3 +243,21 @@ def test_few_rows_do_not_keep_many_tasks(spark):
     rows = spark.range(0, 225_000, 1, 24).select("id", (F.col("id") % 2).cast("double").alias("x"))
     fitted = Recipe("id", []).fit(rows)
     assert _features(fitted, rows, F.col("x"), [], True, 225_000).rdd.getNumPartitions() == 9
+
+
+def test_blocks_send_numbers_of_points_and_keep_ties_by_key(spark, monkeypatch):
+    monkeypatch.setattr("mlscout.operators.neighbours.CHUNK_CELLS", 50)
+    near = [(f"k{i:03d}", [float(i % 5), float(i // 5 % 5)]) for i in range(75)]
+    asked = [[float(i), float(j)] for i in range(5) for j in range(5)]
+    out = nearest_neighbours(
+        spark.createDataFrame(near, "key string, point array<double>"),
+        spark.createDataFrame([(p,) for p in asked], "point array<double>"),
+        4, block_rows=7, points_per_pivot=20,
+    )
+    got = {(tuple(r.point), r["rank"]): (r.distance, r.key) for r in out.collect()}
+    for p in asked:
+        best = sorted((float(np.sqrt(((np.array(q) - p) ** 2).sum())), key) for key, q in near)[:4]
+        assert [got[tuple(p), i + 1] for i in range(4)] == best
+    plan = out._jdf.queryExecution().toString().splitlines()
+    assert all("point" not in line.split("block_top", 1)[1].rsplit("[", 1)[1] for line in plan if "block_top" in line)
+    assert any("block_top" in line for line in plan)
