@@ -89,3 +89,12 @@ def test_correlations_come_from_the_products(rows, monkeypatch):
     found = fit_parts(default_recipe("y", ["id", "_fold"]), rows, "_fold", PARTS)
     assert all(dict(f.steps)["drop_correlated"]["columns"] for f in found.values())
     assert folds.fold_second_moments
+
+
+def test_medians_of_many_rows_meet_a_value_once_for_all_parts(rows, monkeypatch):
+    steps = [ImputeMedian()]
+    expected = fit_parts(Recipe("y", steps, ["_fold"]), rows, "_fold", PARTS)
+    monkeypatch.setattr(folds, "MAX_CELLS", 0, raising=False)
+    monkeypatch.setattr(folds, "exact_quantiles", None)  # a column per column and part
+    found = fit_parts(Recipe("y", steps, ["_fold"]), rows, "_fold", PARTS)
+    assert {p: f.steps for p, f in found.items()} == {p: f.steps for p, f in expected.items()}

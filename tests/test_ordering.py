@@ -11,6 +11,7 @@ from mlscout.functions.ordering import (
     exact_quantiles,
     lowest_per_group,
     mark_lowest,
+    part_medians,
     prefix_sums,
     replicate,
     select_hashes,
@@ -124,3 +125,31 @@ def test_hash_ranks_equal_a_sort(spark):
         values = sorted(r[0] for r in rows.filter(f"_g = {g}").select("_hash").collect())
         value = values[rank]
         assert found[g] == (value, values.index(value), values.count(value))
+
+
+def test_part_medians_are_those_of_the_parts(spark):
+    wide = spark.range(900).select(
+        (F.col("id") % 3).cast("int").alias("fold"),
+        F.when(F.col("id") % 7 != 0, F.sin("id") * F.exp(F.col("id") / 50)).alias("a"),
+        F.when(F.col("id") % 5 < 3, F.lit(float("inf"))).otherwise(F.col("id") % 4).alias("b"),
+        F.when(F.col("id") % 3 == 1, F.col("id").cast("double")).alias("own"),
+        F.lit(None).cast("double").alias("never"),
+        (F.col("id") % 2).cast("int").alias("flag"),
+    )
+    names, parts = ["a", "b", "own", "never", "flag"], [None, 0, 1, 2]
+    found = part_medians(wide, names, "fold", parts)
+    for part in parts:
+        rows = wide if part is None else wide.filter(F.col("fold") != part)
+        expected = exact_quantiles(rows, names, [0.5], keep_infinite=True)
+        assert {c: [found[c, part]] for c in names} == expected
+
+
+def test_a_guess_from_the_size_finds_a_hash_and_a_wrong_one_is_noticed(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") % 2).cast("int").alias("_g"), row_hash(["id"], 9).alias("_hash")
+    )
+    heavy = rows.unionByName(spark.range(5000).select(F.lit(1).alias("_g"), F.lit(77).cast("long").alias("_hash")))
+    for df in (rows, heavy):
+        sizes = {r._g: r["count"] for r in df.groupBy("_g").count().collect()}
+        wanted = {g: int(0.75 * n) for g, n in sizes.items()}
+        assert select_hashes(df, wanted, sizes) == select_hashes(df, wanted)
