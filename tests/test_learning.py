@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -261,3 +262,31 @@ def test_blocks_send_numbers_of_points_and_keep_ties_by_key(spark, monkeypatch):
     plan = out._jdf.queryExecution().toString().splitlines()
     assert all("point" not in line.split("block_top", 1)[1].rsplit("[", 1)[1] for line in plan if "block_top" in line)
     assert any("block_top" in line for line in plan)
+
+
+def test_huber_machine_reaches_the_optimum_and_stores_no_mapped_rows(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    from mlscout.plans.huber import FourierHuber
+
+    x = F.array(F.sin("id"), F.cos(F.col("id") * 3))
+    far = F.when(F.col("id") % 10 == 0, 80.0).otherwise(0.0)
+    rows = spark.range(600).select(
+        array_to_vector(x).alias("features"),
+        (F.sin("id") * 30 + F.cos(F.col("id") * 3) * 9 + far + F.cos(F.col("id") * 31)).alias("label"),
+    ).cache()
+    machine = make_estimator("kernlab", "regression", {"n_features": 6, "cost": 0.05}, n_rows=600, n_inputs=2)
+    assert isinstance(machine, FourierHuber)
+    passes, sums = [], machine._sums
+    machine._sums = lambda *given: passes.append(1) or sums(*given)
+    model = machine.fit(rows)
+    assert len(passes) <= 12
+    mapped = RandomFourierFeatures(inputCol="features", outputCol="mapped", gamma=0.5, size=6, seed=123).transform(rows)
+    exact = LinearRegression(
+        featuresCol="mapped", loss="huber", regParam=1 / (0.05 * 600), maxIter=3000, tol=1e-13
+    ).fit(mapped)
+    pairs = zip(
+        model.transform(rows.coalesce(1)).select("prediction").collect(),
+        exact.transform(mapped.coalesce(1)).select("prediction").collect(),
+    )
+    assert max(abs(a.prediction - b.prediction) for a, b in pairs) < 1e-3
