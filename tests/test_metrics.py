@@ -104,3 +104,19 @@ def test_kappa(spark):
     df = spark.createDataFrame(rows, "y string, p string")
     assert _value(M.kappa(df, "y", "p")) == pytest.approx(0.4)
     assert not math.isnan(_value(M.f_meas(df, "y", "p")))
+
+
+def test_hand_till_counts_few_classes_in_columns_and_many_in_rows(spark, monkeypatch):
+    levels = ["a", "b", "c"]
+    random.seed(5)
+    rows = [
+        (i % 2, random.choice(levels), [random.randrange(5) / 4, random.random(), 0.5]) for i in range(300)
+    ] + [(2, "a", [0.1, 0.2, 0.7]), (2, "b", [0.1, 0.3, 0.6]), (0, "other", [1.0, 0.0, 0.0]), (1, "a", None)]
+    df = spark.createDataFrame(rows, "g int, y string, p array<double>")
+    found = M.roc_auc_hand_till(df, "y", "p", levels, ["g"])
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    few = {r.g: r.estimate for r in found.collect()}
+    monkeypatch.setattr(M, "FEW_LEVELS", 0)
+    many = {r.g: r.estimate for r in M.roc_auc_hand_till(df, "y", "p", levels, ["g"]).collect()}
+    assert few.keys() == many.keys() == {0, 1, 2}
+    assert all(few[g] == pytest.approx(many[g], rel=1e-12) for g in few)
