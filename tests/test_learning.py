@@ -264,7 +264,8 @@ def test_blocks_send_numbers_of_points_and_keep_ties_by_key(spark, monkeypatch):
     assert any("block_top" in line for line in plan)
 
 
-def test_huber_machine_reaches_the_optimum_and_stores_no_mapped_rows(spark):
+def test_huber_machine_reaches_the_optimum_and_stores_no_mapped_rows(spark, tmp_path):
+    from pyspark.ml import PipelineModel
     from pyspark.ml.regression import LinearRegression
 
     from mlscout.plans.huber import FourierHuber
@@ -290,3 +291,6 @@ def test_huber_machine_reaches_the_optimum_and_stores_no_mapped_rows(spark):
         exact.transform(mapped.coalesce(1)).select("prediction").collect(),
     )
     assert max(abs(a.prediction - b.prediction) for a, b in pairs) < 1e-3
+    model.write().save(str(tmp_path / "machine"))
+    again = PipelineModel.load(str(tmp_path / "machine"))
+    assert again.transform(rows.coalesce(1)).collect() == model.transform(rows.coalesce(1)).collect()
