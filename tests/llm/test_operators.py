@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mlscout.llm import archives, bpe, components, mixing, neighbours, ngram_join, queries, repeats, resharding
+from mlscout.llm import archives, bpe, common, components, mixing, neighbours, ngram_join, queries, repeats, resharding
 from mlscout.llm import token_files, topk, toxicity
 from tests.llm.conftest import sentence
 
@@ -189,6 +189,38 @@ def test_top_k_edges(edge_docs, no_docs):
     assert topk.search(no_docs, no_docs, 3).count() == 0
 
 
+def test_top_k_in_small_shards_repeats_no_input(spark, data, edge_docs, monkeypatch):
+    real = real_docs(spark, data).select("doc_id", "text")
+    docs = real.unionByName(edge_docs.selectExpr("doc_id + 1000 AS doc_id", "text"))
+    asked = docs.filter("doc_id % 25 = 0")
+    whole = topk.search(docs, asked, 4)
+    # neither documents nor query lists are multiplied to meet each other
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
+    expected = [tuple(r) for r in whole.orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(topk, "SHARD_BYTES", 50_000)
+    monkeypatch.setattr(topk, "COLUMNS", 7)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "TASKS", 0.25)
+    for carried in (2_000, 1):
+        monkeypatch.setattr(topk, "CARRIED", carried)
+        assert [tuple(r) for r in topk.search(docs, asked, 4).orderBy("query_id", "rank").collect()] == expected
+    held = dict(real.collect())
+    copies = [i for i, t in held.items() if t and t == held[expected[0][2]]]
+    assert expected and set(copies) - {expected[0][0]}
+
+
+def test_word_hashes_tell_words_apart(spark, data):
+    texts = [t or "" for _, t in real_docs(spark, data).select("doc_id", "text").collect()]
+    texts += ["", " ", "ab ba aab", "x" * 40_000 + " Y" * 20_000 + " " + "z" * 64 + " " + "Z" * 65 + "\x0b" + "z" * 65]
+    seen = {}
+    for text in (t.encode() for t in texts):
+        words, hashes = text.lower().split(), common.hashed_words(text)
+        assert len(words) == len(hashes)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+    assert len(set(seen.values())) == len(seen)
+
+
 # 4 resharding
 
 
