@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlscout.llm.common import Memo, byte_rows, over_batches
+from mlscout.llm.common import Memo, byte_rows, kept, over_batches
 
 MAX_STATES = 150_000  # states kept before the lazy construction starts afresh
-WORDS = 120_000  # words and pieces remembered
+WORDS = 500_000  # words and pieces remembered
 EMIT_BYTES = 4096  # bytes after which a long piece emits what is final
 DECODE_CHUNK = 4096  # ids that the streaming decoder takes at a time
 
@@ -153,31 +153,31 @@ class MergeTransducer:
         if len(self._states) > MAX_STATES:
             self._restart()
         out, state = [], 0
-        lasts: list[int] = []  # last tokens at the places after the emitted ones
+        path: list[int] = []  # states at the places after the emitted tokens
         for at in range(0, len(piece), EMIT_BYTES):
             if at:
-                done = self._agreed(state, lasts)
+                done = self._agreed(state, path)
                 out += done
-                del lasts[: sum(map(self._size.__getitem__, done))]
-            arcs, last_of = self._arcs, self._last
+                del path[: sum(map(self._size.__getitem__, done))]
+            arcs = self._arcs
             for byte in piece[at : at + EMIT_BYTES]:
                 state = arcs[state << 8 | byte]
-                lasts.append(last_of[state])
-        return out + self._back(lasts, len(lasts))
+                path.append(state)
+        return out + self._back(path, len(path))
 
-    def _back(self, lasts: list[int], place: int) -> list[int]:
+    def _back(self, path: list[int], place: int) -> list[int]:
         tokens = []
         while place:
-            tokens.append(lasts[place - 1])
+            tokens.append(self._last[path[place - 1]])
             place -= self._size[tokens[-1]]
         return tokens[::-1]
 
-    def _agreed(self, state: int, lasts: list[int]) -> list[int]:
+    def _agreed(self, state: int, path: list[int]) -> list[int]:
         """The tokens that every open cut starts with; no later byte can change them."""
-        starts = [len(lasts) - self._depth[node] for node, _ in self._states[state]]
-        agreed = self._back(lasts, starts[0])
+        starts = [len(path) - self._depth[node] for node, _ in self._states[state]]
+        agreed = self._back(path, starts[0])
         for start in starts[1:]:
-            other = self._back(lasts, start)
+            other = self._back(path, start)
             same = 0
             while same < min(len(agreed), len(other)) and agreed[same] == other[same]:
                 same += 1
@@ -236,7 +236,6 @@ class StreamingDecoder:
 class Codec:
     """Whole texts to ids and back. Pieces are matched by ``pattern`` and encoded apart."""
 
-    _made: dict[tuple[str, str], Codec] = {}
     # a blank between blanks: only there can splitting at blanks part a run of white space
     _run = re.compile(r"\s (?:\s|\Z)")
 
@@ -248,10 +247,8 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        """One codec per Python worker and vocabulary."""
-        if (path, pattern) not in cls._made:
-            cls._made[path, pattern] = cls(path, pattern)
-        return cls._made[path, pattern]
+        """One codec per Python worker."""
+        return kept((cls, path, pattern), lambda: cls(path, pattern))
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())

@@ -29,10 +29,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlscout.llm.common import Memo, byte_rows, file_system, groups_of, shared_folder, spread_evenly, stored
+from mlscout.llm.common import Memo, byte_rows, file_system, groups_of, kept, shared_folder, spread_evenly, stored
 
 SEQUENCE = 2048
-WORDS = 1_000_000  # that a Python worker remembers, in some 150 MB
+WORDS = 2_000_000  # that a Python worker remembers, in some 300 MB
 SEQUENCES_PER_BATCH = 256
 PROBE = "An ox, it's 2 \u00e9t\u00e9 ON \u6f22\u5b57 end.".encode()  # tries how a tokenizer treats blanks
 DOCS_PER_BATCH = 4096
@@ -46,8 +46,6 @@ class WordTokenizer:
     those of its words; frequent words are remembered. Others are refused.
     """
 
-    _made: dict[str, WordTokenizer] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
@@ -62,9 +60,7 @@ class WordTokenizer:
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept((cls, path), lambda: cls(path))
 
     def _raw(self, word: bytes) -> bytes:
         found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
@@ -87,15 +83,26 @@ class WordTokenizer:
         known = self.words
         # at the six ASCII blanks; other white space stays inside a word
         split = [(t.lower() if self.folds and t.isascii() else t).split() for t in texts]
-        new = [w for w in set().union(*split) if w not in known and w not in known.older]
+        found = [list(map(known.get, ws)) for ws in split]
+        missed = set()
+        for ws, ids in zip(split, found):
+            if None in ids:
+                missed.update(w for w, x in zip(ws, ids) if x is None)
+        older = known.older
+        new = [w for w in missed if w not in older]
+        made = {w: older[w] for w in missed if w in older}
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
-            found = self.tokenizer.encode_batch_fast(
+            encoded = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "replace") for w in some], add_special_tokens=False
             )
             code = self.kind.char
-            known.remember({w: array(code, e.ids).tobytes() for w, e in zip(some, found)})
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), self.kind) for ws in split]
+            made |= {w: array(code, e.ids).tobytes() for w, e in zip(some, encoded)}
+        known.remember(made)
+        for i, ids in enumerate(found):
+            if None in ids:
+                found[i] = [made[w] if x is None else x for w, x in zip(split[i], ids)]
+        return [np.frombuffer(b"".join(ids), self.kind) for ids in found]
 
 
 def sequence_schema(length: int, kind: np.dtype) -> pa.Schema:

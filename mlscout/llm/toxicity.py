@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from mlscout.llm.common import Memo, byte_rows, over_batches
+from mlscout.llm.common import Memo, byte_rows, kept, over_batches
 
 FIT_ROWS = 8_000  # labelled rows that lexicon and model are fitted on, the lowest id hashes
 LEXICON = 2_000  # stems kept, the strongest first
@@ -195,8 +195,6 @@ class ToxicityModel:
         self.stems, self.coefficients, self.intercept = stems, coefficients, intercept
         self._lexicon: Lexicon | None = None
 
-    _shared: dict[int, Lexicon] = {}  # of the worker: tasks of one model share what they found
-
     def __getstate__(self):
         return self.stems, self.coefficients, self.intercept
 
@@ -206,12 +204,9 @@ class ToxicityModel:
 
     @property
     def lexicon(self) -> Lexicon:
-        if self._lexicon is None:
-            key = hash(frozenset(self.stems.items()))
-            if key not in self._shared:
-                self._shared.clear()
-                self._shared[key] = Lexicon(self.stems)
-            self._lexicon = self._shared[key]
+        if self._lexicon is None:  # tasks of one model share what their worker found
+            key = (Lexicon, frozenset(self.stems.items()))
+            self._lexicon = kept(key, lambda: Lexicon(self.stems))
         return self._lexicon
 
     def score(self, text: str) -> float:

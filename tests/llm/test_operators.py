@@ -298,6 +298,24 @@ def test_hot_null_ids_are_split_between_files(spark):
     assert len(rows) == 400 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
 
 
+def test_a_worker_keeps_what_one_step_remembers():
+    words = token_files.WordTokenizer.of(WORD_BPE)
+    assert token_files.WordTokenizer.of(WORD_BPE) is words
+    codec = bpe.Codec.of(RANKS, public_tokenizers.PATTERN)
+    assert list(common._kept.values()) == [codec]
+    assert token_files.WordTokenizer.of(WORD_BPE) is not words
+
+
+def test_words_forgotten_and_met_again_keep_their_ids(spark, data, monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS", 40)
+    words, ref = token_files.WordTokenizer(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    texts = [t or "" for _, t in real_docs(spark, data).select("doc_id", "text").collect()][:60]
+    for at in range(0, 60, 7):
+        some = texts[at : at + 7] + texts[:2]
+        found = words.encode([t.encode() for t in some])
+        assert [f.tolist() for f in found] == [ref.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_tokenizer_that_keeps_white_space_is_refused():
     with pytest.raises(ValueError, match="white space"):
         token_files.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
