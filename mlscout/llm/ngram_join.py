@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlscout.llm.common import byte_rows, hashed_words, mixed, over_batches, shingle_set, stored
+from mlscout.llm.common import byte_rows, groups_of, mixed, over_batches, shingle_sets_of, stored
 from mlscout.llm.components import components
 
 CROWD = 24
 CENTRES, ROUNDS = 6, 2  # what members of a large group meet before all that still differ do
 BAND_GROWTH = (3, 2)
+SIGNED_TOGETHER = 1 << 16  # shingles of sets that sign in one step
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -70,44 +71,67 @@ class PartEnum:
 
     def sign(self, shingles: np.ndarray) -> np.ndarray:
         """The signatures of a sorted set of shingle hashes."""
-        size = len(shingles)
-        values = mixed(shingles + self.seed)
+        return self.sign_all(shingles, np.array([0, len(shingles)]))[0]
+
+    def sign_all(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures of several sorted sets, one after another in ``flat``, and the set of each."""
+        sizes = np.diff(ends)
+        values = mixed(flat + self.seed)
         if self.k2:
-            values.sort()
-        place = (values if self.k2 else shingles) >> np.uint64(32)
-        own = int(np.searchsorted(self.last, size))
-        bands = [own]
-        if self.largest_partner(size) > self.last[own]:
-            bands.append(own + 1)
-        return np.concatenate([self._sign(size, values, place, band) for band in bands])
-
-    def _sign(self, size: int, values: np.ndarray, place: np.ndarray, band: int) -> np.ndarray:
-        most = int(self.last[band])
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                values[a:b].sort()
+        place = (values if self.k2 else flat) >> np.uint64(32)
+        # a set signs in its own band, and in the next one if partners reach into it
+        own = np.searchsorted(self.last, sizes)
+        which = np.flatnonzero(sizes > 0)
+        reach = which[self.largest_partner(sizes[which]) > self.last[own[which]]]
+        of = np.r_[which, reach]
+        band = np.r_[own[which], own[reach] + 1]
+        size, most = sizes[of], self.last[band]
         ranges, _ = self.needed(self.differences(2 * most))
-        k = self.differences(size + min(self.largest_partner(size), most))
+        k = self.differences(size + np.minimum(self.largest_partner(size), most))
         signed, _ = self.needed(k)
-        cells = ranges * self.n2
-        cell = ((place * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sums = np.zeros(cells, np.uint64)
-        sums[cell[starts]] = np.add.reduceat(values, starts)
-        sums = sums.reshape(ranges, self.n2)[:signed]
+        begin = np.r_[0, np.cumsum(signed)]
+        # sums of the parts of the ranges that are signed
+        element = _ranges(ends[:-1][of], size)
+        times = np.repeat(np.arange(len(of)), size)
+        cell = ((place[element] * (ranges * self.n2).astype(np.uint64)[times]) >> np.uint64(32)).astype(np.int64)
+        inside = np.flatnonzero(cell < (signed * self.n2)[times])
+        cell = cell[inside] + (begin[:-1] * self.n2)[times[inside]]
+        sums = np.zeros(begin[-1] * self.n2, np.uint64)
+        if len(cell):
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sums[cell[starts]] = np.add.reduceat(values[element[inside]], starts)
+        sums = sums.reshape(-1, self.n2)
         filled = np.stack([(sums[:, list(s)] != 0).any(axis=1) for s in self.subsets])
         # a range may agree through any subset, so it counts as empty if one of them is;
         # a smaller partner signs fewer ranges, so every prefix it may use is looked at
-        empty = np.cumsum(~filled.all(axis=0))
-        ks = np.arange(self.differences(2 * (size * self.part // self.whole)), k + 1)
-        prefix, spare = self.needed(ks)
-        if (empty[np.minimum(prefix, signed) - 1] > spare).any():
-            filled[:] = True
-        out = []
+        empty = np.r_[0, np.cumsum(~filled.all(axis=0))]
+        least = self.differences(2 * (size * self.part // self.whole))
+        tried = k - least + 1
+        pair = np.repeat(np.arange(len(of)), tried)
+        prefix, spare = self.needed(_ranges(least, tried))
+        over = empty[begin[pair] + np.minimum(prefix, signed[pair])] - empty[begin[pair]] > spare
+        wanted = np.zeros(len(of), bool)
+        wanted[pair[over]] = True
+        filled |= np.repeat(wanted, signed)
+        place = _ranges(np.zeros_like(signed), signed).astype(np.uint64) * np.uint64(64)
+        place += np.repeat(band.astype(np.uint64) << np.uint64(40), signed) + self.seed
+        owner = np.repeat(of, signed)
+        out, owners = [], []
         for j, subset in enumerate(self.subsets):
-            tag = np.arange(signed, dtype=np.uint64) * np.uint64(64) + np.uint64((band << 40) + j)
-            joint = mixed(tag + self.seed)
+            some = np.flatnonzero(filled[j])
+            joint = mixed(place[some] + np.uint64(j))
             for position, cell_of in enumerate(subset):
-                joint = mixed(joint + sums[:, cell_of] * _ODD[position])
-            out.append(joint[filled[j]])
-        return np.concatenate(out)
+                joint = mixed(joint + sums[some, cell_of] * _ODD[position])
+            out.append(joint)
+            owners.append(owner[some])
+        return np.concatenate(out), np.concatenate(owners)
+
+
+def _ranges(start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Consecutive numbers from several starts on, one after another."""
+    return np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
 def plain(part: int, whole: int) -> PartEnum:
@@ -118,12 +142,18 @@ def strong(part: int, whole: int) -> PartEnum:
     return PartEnum(part, whole, 5, 2, 0x14057B7EF767814F)
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set of shingle hashes, as a signed integer."""
-    if not len(shingles):
-        return 0
-    total = np.array([shingles.sum(), np.bitwise_xor.reduce(mixed(shingles)), len(shingles)], np.uint64)
-    return int(np.bitwise_xor.reduce(mixed(total * np.array([3, 5, 7], np.uint64))).astype(np.int64))
+def fingerprints(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of several sets of shingle hashes, as signed integers; 0 of an empty one."""
+    out = np.zeros(len(ends) - 1, np.int64)
+    some = np.flatnonzero(np.diff(ends))
+    if len(some):
+        starts = ends[some]
+        total = np.stack(
+            [np.add.reduceat(flat, starts), np.bitwise_xor.reduceat(mixed(flat), starts), np.diff(ends)[some].astype(np.uint64)],
+            axis=1,
+        )
+        out[some] = np.bitwise_xor.reduce(mixed(total * np.array([3, 5, 7], np.uint64)), axis=1).astype(np.int64)
+    return out
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -154,23 +184,35 @@ def _of_texts(df: DataFrame, make, schema: str) -> DataFrame:
     return rows.mapInArrow(over_batches(make), schema)
 
 
-def set_ids(df: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, text_hash, set_id, n_shingles, parities) of every row."""
+def set_ids(df: DataFrame, part: int, whole: int, size: int = 5) -> DataFrame:
+    """(doc_id, text_hash, set_id, n_shingles, parities, signatures) of every row.
+
+    The plain signatures of equal sets are there once in a batch.
+    """
+    signer = plain(part, whole)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(hashed_words(t), size) for t in byte_rows(batch.column(1))]
+        flat, ends = shingle_sets_of(byte_rows(batch.column(1)), size)
+        ids = fingerprints(flat, ends)
+        signatures, of = signer.sign_all(flat, ends)
+        first = np.zeros(len(ids), bool)
+        first[np.unique(ids, return_index=True)[1]] = True
+        signatures, of = signatures[first[of]], of[first[of]]
+        order = np.argsort(of, kind="stable")
+        places = np.searchsorted(of[order], np.arange(len(ids) + 1))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(2),
-                pa.array([fingerprint(s) for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                _flat([parities(s) for s in sets], pa.int64()),
+                pa.array(ids),
+                pa.array(np.diff(ends)),
+                _flat([parities(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(signatures[order].view(np.int64))),
             ],
-            ["doc_id", "text_hash", "set_id", "n_shingles", "parities"],
+            ["doc_id", "text_hash", "set_id", "n_shingles", "parities", "signatures"],
         )
 
-    kinds = "doc_id long, text_hash long, set_id long, n_shingles long, parities array<long>"
+    kinds = "doc_id long, text_hash long, set_id long, n_shingles long, parities array<long>, signatures array<long>"
     return _of_texts(df, make, kinds)
 
 
@@ -178,53 +220,27 @@ def shingle_sets(df: DataFrame, size: int = 5) -> DataFrame:
     """(set_id, shingles) of every row."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(hashed_words(t), size) for t in byte_rows(batch.column(1))]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([fingerprint(s) for s in sets], pa.int64()),
-                _flat([s.view(np.int64) for s in sets], pa.int64()),
-            ],
-            ["set_id", "shingles"],
-        )
+        flat, ends = shingle_sets_of(byte_rows(batch.column(1)), size)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(fingerprints(flat, ends)), lists], ["set_id", "shingles"])
 
     return _of_texts(df, make, "set_id long, shingles array<long>")
 
 
-def _signed(made: list[tuple[int, np.ndarray]]) -> Iterable[pa.RecordBatch]:
-    if made:
-        ids = np.repeat(np.array([i for i, _ in made], np.int64), [len(x) for _, x in made])
-        values = np.concatenate([x for _, x in made]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(ids)], ["signature", "set_id"])
-
-
-def plain_signatures(df: DataFrame, part: int, whole: int, size: int = 5) -> DataFrame:
-    """(signature, set_id) of every row with words; equal sets of a batch once."""
-    signer = plain(part, whole)
-
-    def make(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        seen = {}
-        for t in byte_rows(batch.column(1)):
-            s = shingle_set(hashed_words(t), size)
-            if len(s):
-                seen.setdefault(fingerprint(s), s)
-        return _signed([(i, signer.sign(s)) for i, s in seen.items()])
-
-    return _of_texts(df, make, "signature long, set_id long")
-
-
 def strong_signatures(sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """(signature, set_id) of the sets (set_id, shingles)."""
     signer = strong(part, whole)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                lists = some.column(1)
-                ends = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy().view(np.uint64)
-                ids = some.column(0).to_pylist()
-                yield from _signed(
-                    [(i, signer.sign(flat[ends[j] : ends[j + 1]])) for j, i in enumerate(ids)]
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy().view(np.uint64)
+            ids = batch.column(0).to_numpy()
+            for a, b in groups_of(np.diff(ends).tolist(), SIGNED_TOGETHER):
+                made, of = signer.sign_all(flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made.view(np.int64)), pa.array(ids[a:b][of])], ["signature", "set_id"]
                 )
 
     return sets.select("set_id", "shingles").mapInArrow(run, "signature long, set_id long")
@@ -313,7 +329,10 @@ def links(
     not every link is listed.
     """
     part, whole = similarity
-    members = stored(set_ids(df, size), "sets")
+    # texts are read and cut into words once for the sets, their parities and signatures
+    found = stored(set_ids(df, part, whole, size), "sets")
+    members = found.drop("signatures")
+    signed = found.select(F.explode("signatures").alias("signature"), "set_id")
     # one row key stands for each set; only texts of candidates travel
     keyed = members.filter("n_shingles > 0").withColumn("key", _row_key(F.col("text_hash")))
     known = keyed.groupBy("set_id").agg(
@@ -325,7 +344,7 @@ def links(
     else:
         several = stored(several.withColumn("repeated", F.lit(True)), "repeated")
         known = known.join(several, "key", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
-    met = stored(_met(plain_signatures(df, part, whole, size)), "met")
+    met = stored(_met(signed), "met")
     crowded = met.filter(F.col("n") > crowd).select("set_id").distinct()
     again = stored(_met(strong_signatures(_sets_of(df, known, crowded, size), part, whole)), "met")
     large = again.filter(F.col("n") > crowd)

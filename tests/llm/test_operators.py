@@ -630,3 +630,24 @@ def test_parities_never_exceed_the_differences():
         apart = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
         assert apart <= len(np.setxor1d(a, b))
         assert (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_one_pass_makes_sets_parities_and_signatures(spark, edge_docs, edge_rows):
+    texts = [(r[1] or "").encode() for r in edge_rows] + [b"a " * n + b"x" * 70 for n in range(9)]
+    flat, ends = common.shingle_sets_of(texts)
+    own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    for text, found in zip(texts, own):
+        assert found.tolist() == common.shingle_set(common.hashed_words(text)).tolist()
+    for signer in (ngram_join.plain(80, 100), ngram_join.strong(80, 100)):
+        signatures, of = signer.sign_all(flat, ends)
+        for i, found in enumerate(own):  # a set signs as it does alone
+            assert sorted(signatures[of == i]) == (sorted(signer.sign(found)) if len(found) else [])
+    made = ngram_join.set_ids(edge_docs, 80, 100).collect()
+    by_set = {}
+    for row in made:
+        by_set.setdefault(row.set_id, set()).update(row.signatures)
+    for row, text in zip(edge_rows, texts):
+        shingles = common.shingle_set(common.hashed_words(text))
+        number = int(ngram_join.fingerprints(shingles, np.array([0, len(shingles)]))[0])
+        signed = ngram_join.plain(80, 100).sign(shingles) if len(shingles) else np.zeros(0, np.uint64)
+        assert by_set[number] == set(signed.view(np.int64).tolist())
