@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlscout.llm.common import byte_rows, file_system, groups_of, hashed_words, over_batches, shared_folder, shuffles_dropped
+from mlscout.llm.common import byte_rows, counted_words, file_system, groups_of, over_batches, shared_folder, shuffles_dropped
 
 K1, B = 1.2, 0.75
 SHARD_BYTES = 24 << 20  # text of a shard
@@ -50,8 +50,8 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """(term, df) with term a 64-bit hash; counted per chunk of text before the shuffle."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(hashed_words(t)) for t in byte_rows(batch.column(1))]
-        terms, counts = np.unique(np.concatenate(found), return_counts=True)
+        found, _, _ = counted_words(byte_rows(batch.column(1)))
+        terms, counts = np.unique(found, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "n"])
 
     parts = _texts(docs).mapInArrow(over_batches(make), "term long, n long")
@@ -61,13 +61,12 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf)."""
 
-    def make(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        for doc_id, text in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1))):
-            terms, counts = np.unique(hashed_words(text), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(terms), doc_id, np.int64)), pa.array(terms.view(np.int64)), pa.array(counts)],
-                ["query_id", "term", "qtf"],
-            )
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        terms, counts, ends = counted_words(byte_rows(batch.column(1)))
+        ids = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(terms.view(np.int64)), pa.array(counts)], ["query_id", "term", "qtf"]
+        )
 
     return _texts(queries).mapInArrow(over_batches(make), "query_id long, term long, qtf long")
 
@@ -83,25 +82,22 @@ class ShardIndex:
     def __init__(self, ids: np.ndarray, texts: list[bytes], mean: float):
         number: dict[bytes, int] = {}
         own = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
-        terms, counts, words = [], [], []
-        for text in number:
-            hashed = hashed_words(text)
-            found, n = np.unique(hashed, return_counts=True)
-            terms.append(found)
-            counts.append(n)
-            words.append(len(hashed))
+        texts = list(number)
+        parts = [counted_words(texts[a:b]) for a, b in groups_of([len(t) for t in texts])]
+        terms, counts = [p[0] for p in parts], [p[1] for p in parts]
+        held = np.concatenate([np.diff(p[2]) for p in parts])
         self.n = len(number)
         # the rows of a text, by id, and the text of every row in order of ids
         order = np.lexsort((ids, own))
         self.rows, self.row_start = ids[order], np.searchsorted(own[order], np.arange(self.n + 1))
         order = np.argsort(ids, kind="stable")
         self.sorted_ids, self.text_of = ids[order], own[order]
-        held = np.array([len(t) for t in terms], np.int64)
         self.start = np.r_[0, np.cumsum(held)]
         self.vocabulary, at = np.unique(np.concatenate(terms), return_inverse=True)
         self.term = at.astype(np.int32)
         tf = np.concatenate(counts).astype(np.float64)
-        length = np.repeat(np.array(words, np.float64), held)
+        words = np.bincount(np.repeat(np.arange(self.n), held), tf, self.n)
+        length = np.repeat(words, held)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
         text = np.repeat(np.arange(self.n, dtype=np.int32), held)
         df = np.bincount(self.term, minlength=len(self.vocabulary))
@@ -116,7 +112,7 @@ class ShardIndex:
         rare = np.flatnonzero(~dense)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         self.list_start = np.searchsorted(self.term[rare], np.arange(len(self.vocabulary) + 1))
-        self.listed, self.listed_impact = text[rare], self.impact[rare]
+        self.listed, self.listed_impact = text[rare], self.impact[rare].astype(np.float32)
         # sums of positive numbers in single precision are off by a share of themselves
         self.error = 4 * (len(frequent) + 16) * 2.0**-24
         self.weights, self.asked = np.zeros(len(self.vocabulary)), np.zeros(len(self.vocabulary), bool)
@@ -184,7 +180,7 @@ class ShardIndex:
             lengths = self.list_start[some + 1] - self.list_start[some]
             places = _ranges(self.list_start[some], lengths)
             if len(places):
-                added = self.listed_impact[places] * np.repeat(weight[rare], lengths)
+                added = self.listed_impact[places] * np.repeat(weight[rare].astype(np.float32), lengths)
                 row += np.bincount(self.listed[places], added, minlength=self.n).astype(np.float32)
             row[self._only_own(query_id)] = 0.0
             near = np.flatnonzero((row >= best.scores[i, -1] * (1 - self.error)) & (row > 0))

@@ -651,3 +651,13 @@ def test_one_pass_makes_sets_parities_and_signatures(spark, edge_docs, edge_rows
         number = int(ngram_join.fingerprints(shingles, np.array([0, len(shingles)]))[0])
         signed = ngram_join.plain(80, 100).sign(shingles) if len(shingles) else np.zeros(0, np.uint64)
         assert by_set[number] == set(signed.view(np.int64).tolist())
+
+
+def test_words_of_many_texts_are_counted_as_those_of_each(edge_rows):
+    texts = [(r[1] or "").encode() for r in edge_rows] + [b"", b" ", b"b a B", b"x" * 70 + b" x", b""]
+    terms, counts, ends = common.counted_words(texts)
+    assert len(ends) == len(texts) + 1
+    for text, a, b in zip(texts, ends[:-1], ends[1:]):
+        found, n = np.unique(common.hashed_words(text), return_counts=True)
+        assert terms[a:b].tolist() == found.tolist() and counts[a:b].tolist() == n.tolist()
+    assert common.counted_words([b"", b" "])[2].tolist() == [0, 0, 0]
